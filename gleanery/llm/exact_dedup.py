@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .bytekernel import mix
 from .common import materialise, partitions
 
-_KEYS_PER_BUCKET = 20_000
+_KEYS_PER_BUCKET = 4_000
 _HOT_SHARE = 1000
 _SALTS = 32
 INDEX_SCHEMA = "bucket long, buckets long, n long, level_sizes binary, level_bits binary, slot_digests binary, slot_winners binary, slot_has_winner binary, slot_counts binary"
