@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid_cnn, mixing, ngram_join, suffix_decontam, token_counts, toxicity, warc_bundles
+from . import compact_windows, exact_dedup, langid_cnn, license_scan, mixing, ngram_join, suffix_decontam, token_counts, toxicity, warc_bundles
 from .common import table
 
 
@@ -41,12 +41,21 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.near_passages(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.train(docs))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_suffix_decontamination, op3_warc_bundles, op4_language_id, op5_ngram_jaccard_join, op6_token_counts, op7_source_mixing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffix_decontamination, op3_warc_bundles, op4_language_id, op5_ngram_jaccard_join, op6_token_counts, op7_source_mixing, op8_compact_windows, op9_license_scan, op10_exact_dedup)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
