@@ -8,6 +8,7 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -111,6 +112,39 @@ def stream_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.Table.from_batches(rest)
 
 
+def id_filter(ids: DataFrame, column: str, n: int, most_bits: int = 1 << 29):
+    """A function of frames: their rows whose id may be among ids, and all of those
+    that are. It carries a bit for each of some hash values, 16 for each of the n
+    ids but at most most_bits (64 MB) in all, which bounds what is broadcast; with
+    more ids than that it lets more rows through, and what is joined afterwards
+    stays the same."""
+    spark = ids.sparkSession
+    bits = 1 << 15
+    while bits < min(16 * n, most_bits):
+        bits *= 2
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    own = ids.select((at(F.col(column)) + 1).alias("p"))  # bucket and bit numbers count from 1 and 0
+    maps = own.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+    field = bytearray(bits // 8)
+    for r in maps.toLocalIterator():
+        lo = (r["b"] - 1) * 4096
+        field[lo : lo + 4096] = r["m"]
+    shared = spark.sparkContext.broadcast(bytes(field))
+
+    def keep(df: DataFrame, id_col: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            flags = np.frombuffer(shared.value, np.uint8)
+            for batch in batches:
+                p = batch.column(batch.num_columns - 1).to_numpy()
+                hit = (flags[p >> 3] >> (p & 7).astype(np.uint8)) & 1
+                kept = batch.filter(pa.array(hit.astype(bool)))
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
+
+        return df.where(F.col(id_col).isNotNull()).withColumn("_p", at(F.col(id_col))).mapInArrow(run, df.schema)
+
+    return keep
+
+
 def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node that
     links reach. Alternates large-star and small-star steps, each round written to

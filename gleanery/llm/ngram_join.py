@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekernel import NONSPACE, buffers, hashes, mix, shingles, spans
-from .common import connected_components, materialise, partitions, stream_groups, text_batches
+from .common import connected_components, id_filter, materialise, partitions, stream_groups, text_batches
 
 #: Ratio of the sizes at a size class's ends.
 _CLASS = 1.6
@@ -240,7 +240,8 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90, text: str = "text",
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
     placed = placed.select("block", F.least("cut", "other").alias("lo"), F.greatest("cut", "other").alias("hi"), (F.col("cut") > F.col("other")).alias("side"), "node")
 
-    ids = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("t"))
+    # only texts that may be in a block leave their place
+    ids = id_filter(sized, "node", sized.count())(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("t")), "node")
     members = ids.join(placed, "node").repartition(n, "block", "lo", "hi").sortWithinPartitions("block", "lo", "hi", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
