@@ -79,7 +79,7 @@ def fnv1a(text: Column) -> Column:
         top = (b * low + carry + F.shiftleft(a.bitwiseAND(F.lit(0xFFFFFF)), 8)).bitwiseAND(high)
         return F.shiftleft(top, 32).bitwiseOR(t.bitwiseAND(high))
 
-    bytes_ = F.transform(F.sequence(F.lit(1), F.length(F.hex(F.encode(text, "UTF-8"))) / 2), lambda i: F.conv(F.substring(F.hex(F.encode(text, "UTF-8")), (i * 2 - 1).cast("int"), F.lit(2)), 16, 10).cast("long"))
+    bytes_ = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.substring(F.hex(F.encode(text, "UTF-8")), (i * 2 - 1).cast("int"), F.lit(2)), 16, 10).cast("long"))
     start = F.lit(-3750763034362895579).cast("long")
     h = F.when(F.octet_length(text) > 0, F.aggregate(bytes_, start, step)).otherwise(start)
     return F.shiftrightunsigned(h, 1)
