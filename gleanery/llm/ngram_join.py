@@ -3,9 +3,9 @@
 A document's set holds the hashes of its distinct word shingles. Three steps:
 
 1. Blocks. Equal sets become one node. Sets of a size class are dealt, shingle by
-   shingle, into d + 1 parts, where d bounds the symmetric difference that a pair
-   over the threshold can have in that class; so such a pair agrees on at least one
-   whole part (pigeonhole), and whole parts are what nodes are grouped by. Documents
+   shingle, into more parts than a pair over the threshold can differ in; such a
+   pair agrees on a whole part (pigeonhole), one of the best few by what they hold,
+   and whole parts are what nodes are grouped by. Documents
    of one group are chained to its smallest (never paired with each other), and the
    components of those chains are the blocks. No linked pair lies in two blocks.
 2. Signature trees. In each block the nodes are leaves of a tree in which every
@@ -70,15 +70,19 @@ def _class_of(n: int) -> int:
     return c
 
 
-def part_signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the parts of a set, for its size class and, where a partner may be
+def part_signatures(s: np.ndarray, percent: int, common: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of parts of a set, for its size class and, where a partner may be
     there, for the next one.
 
     Distinct sets with 100 * |A & B| >= percent * |A | B| have
     |A ^ B| <= d = min(|A|, |B|) * (100 - percent) / percent, and each part on which
-    they differ takes one of these. So a set with more than d filled parts agrees
-    with its partner on a filled one. The few sets with fewer also name their empty
-    parts: two of them agree on a part, filled or empty, as there are over d parts.
+    they differ takes one of these. So with more than d filled parts a set agrees
+    with its partner on a filled one. Parts are ranked by what they hold: those with
+    most shingles that are not common come first. Before the best part on which two
+    sets agree only parts can come on which they differ, d at most; so the best
+    d + 1 are enough, and passages that many documents share tie nothing. The few
+    sets with no more than d filled parts name all, the empty ones too: two of them
+    agree on a part, filled or empty, as there are over d parts.
     """
     n, out = len(s), []
     d = n * (100 - percent) // percent
@@ -86,22 +90,47 @@ def part_signatures(s: np.ndarray, percent: int) -> np.ndarray:
         return np.zeros(0, np.uint64)  # only equal sets could link, and those are one node
     c = _class_of(n)
     top = _class_bounds(c)[1]
+    rare = np.ones(n, np.int64) if common is None or not len(common) else (common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s).astype(np.int64)
     labels = [c] + [c + 1] * (n * 100 >= percent * (top + 1))
     for label in labels:
-        parts = int(_class_bounds(label)[1] * (100 - percent) / percent * 1.08) + 3
+        parts = int(_class_bounds(label)[1] * (100 - percent) / percent * 1.3) + 3
         m = mix(s + np.uint64(label * 2 + 1))
         part = ((m >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         filled, first = np.unique(part[order], return_index=True)
-        total = np.add.reduceat(m[order], first)
         name = lambda p: mix(p.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(label + 1))
-        out.append(mix(total ^ name(filled)))
-        if len(filled) <= d:
+        own = mix(np.add.reduceat(m[order], first) ^ name(filled))
+        if len(filled) > d:
+            best = np.lexsort((own, -np.add.reduceat(rare[order], first)))
+            out.append(own[best[: d + 1]])
+        else:
             empty = np.setdiff1d(np.arange(parts), filled, assume_unique=True)
-            out.append(mix(np.uint64(0x5851F42D4C957F2D) ^ name(empty)))
+            out += [own, mix(np.uint64(0x5851F42D4C957F2D) ^ name(empty))]
     return np.concatenate(out)
 
 
+def common_shingles(docs: DataFrame, k: int, text: str, least: int = 4, most: int = 1 << 20) -> np.ndarray:
+    """Sorted hashes of shingles that many documents hold: counted where `least`
+    texts of one batch of about 4 MB do, added up, the commonest ones (at most
+    `most`, 8 MB). They only rank parts; no result depends on which they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in text_batches(batches, "t", 4 << 20):
+            h = np.sort(np.concatenate(document_sets(texts, k)))
+            if not len(h):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            times = np.diff(np.append(first, len(h)))
+            some = times >= least
+            yield pa.RecordBatch.from_arrays([pa.array(h[first][some].view(np.int64)), pa.array(times[some])], names=["h", "n"])
+
+    counts = materialise(docs.select(F.col(text).alias("t")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "common")
+    floor = least
+    while counts.where(F.col("n") >= floor).count() > most:
+        floor *= 2
+    return np.sort(counts.where(F.col("n") >= floor).toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+
+
 class SignatureTree:
     """Sets as leaves in a given order, with bitmaps OR-ed upwards."""
 
@@ -185,11 +214,12 @@ def tree_join(sets: list[np.ndarray], percent: int, side: np.ndarray | None = No
 
 def sketch(docs: DataFrame, k: int, percent: int, text: str, id_col: str) -> DataFrame:
     """(doc_id, n_shingles, digest, signatures) of each row."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, "t"):
             sets = document_sets(texts, k)
-            sigs = [part_signatures(s, percent) for s in sets]
+            sigs = [part_signatures(s, percent, common.value) for s in sets]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sigs])]), pa.int32())
             values = pa.array(np.concatenate([np.zeros(0, np.uint64), *sigs]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
