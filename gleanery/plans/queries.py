@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import effect_rules, names, spans
 from ..operators import clones, effects, errors, graph, macros, ownership, packs, relational, reports
+from ..operators.lineage import cut
 from . import inline
 from .inline import duck
 
@@ -31,6 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def word_tokens(docs: DataFrame) -> DataFrame:
     """Lower-cased words of documents as tokens; a language is a domain of its own."""
+    docs = docs.repartition("doc_id")
     word = F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
     flat = docs.select(F.col("doc_id").alias("file_id"), F.concat(F.lit("doc/"), "doc_id").alias("path"), F.col("lang").alias("domain"), word.alias("ordinal", "lexeme"))
     kind = F.when(F.col("lexeme").rlike("^[0-9]+$"), "number").otherwise("word")
@@ -57,7 +59,7 @@ def s5_tokens(spark, sf_dir):
 
 @query(f"WITH {_windows_sql(8)} SELECT lang, count(*) AS n_windows, count(DISTINCT x) AS n_groups FROM win GROUP BY lang")
 def w1_a1_windows(spark, sf_dir):
-    w = clones.windows(clones.encoded(word_tokens(table(spark, sf_dir, "documents"))), 8)
+    w = clones.windows(clones.encoded(word_tokens(table(spark, sf_dir, "documents"))), 8, renamed=False)
     return w.groupBy(F.col("domain").alias("lang")).agg(F.count("*").alias("n_windows"), F.countDistinct("digest").alias("n_groups"))
 
 
@@ -68,7 +70,7 @@ pairs AS (SELECT l.doc_id AS left_file, l.s AS left_start, r.doc_id AS right_fil
 
 @query(f"WITH {_windows_sql(16)}, {_EDGE} AND (l.before IS NULL OR r.before IS NULL OR l.before <> r.before)) SELECT left_file, count(*) AS n_runs, sum(left_start)::BIGINT AS sum_left, sum(right_start)::BIGINT AS sum_right FROM pairs GROUP BY left_file")
 def j1_run_starts(spark, sf_dir):
-    w = clones.windows(clones.encoded(word_tokens(table(spark, sf_dir, "documents"))), 16)
+    w = cut(clones.windows(clones.encoded(word_tokens(table(spark, sf_dir, "documents"))), 16, renamed=False))
     return clones.seeds(w, 16, "before").groupBy("left_file").agg(F.count("*").alias("n_runs"), F.sum("left_start").alias("sum_left"), F.sum("right_start").alias("sum_right"))
 
 
@@ -79,7 +81,7 @@ SELECT left_file, right_file, left_start::BIGINT AS left_start, right_start::BIG
 )
 def w2_maximal_runs(spark, sf_dir):
     """Runs from their starts and ends alone; the SQL merges all seeds."""
-    w = clones.windows(clones.encoded(word_tokens(table(spark, sf_dir, "documents"))), 16)
+    w = cut(clones.windows(clones.encoded(word_tokens(table(spark, sf_dir, "documents"))), 16, renamed=False))
     return clones.runs(w, 16).select("left_file", "right_file", F.col("left_start").cast("long"), F.col("right_start").cast("long"), F.col("tokens").cast("long"))
 
 
