@@ -119,7 +119,7 @@ def _round(seed: int, level: int):
     return run
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 7, block_rows: int = 20_000, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 7, block_rows: int = 2_000, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, part_words for every row:
     copies whole copies and part_words further words of the document make taken."""
     spark = docs.sparkSession
