@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import effect_rules, names, spans
-from ..operators import clones, effects, errors, graph, macros, ownership, packs, relational, reports
+from ..operators import behaviors, clones, effects, errors, graph, macros, ownership, packs, relational, reports
 from ..operators.lineage import cut
 from . import inline
 from .inline import duck
@@ -416,3 +416,47 @@ def replace_by_path(spark, sf_dir):
 def p24_validators(spark, sf_dir):
     rows = spark.sql("SELECT * FROM (VALUES (1, 'rust-std', 'zz', 'a/b.json', array('a', 'b')), (2, 'Bad_Slug', repeat('ab', 32), '../x', array('b', 'a'))) AS t(id, s, d, p, a)")
     return rows.select("id", packs.is_slug(F.col("s")).alias("slug"), packs.is_sha256(F.col("d")).alias("digest"), packs.is_safe_path(F.col("p")).alias("path"), packs.is_sorted_unique(F.col("a")).alias("sorted"))
+
+
+def _part_forms(spark, sf_dir, leaf: str = "num") -> DataFrame:
+    """A term for each part: its type as an operator over two leaves."""
+    text = F.format_string(f'["binary","%s",[["{leaf}",%s,[],[]],["{leaf}",%s,[],[]]],[]]', F.col("p_type"), *[F.when(F.lit(leaf == "num"), F.concat(F.lit('"'), (F.col("p_partkey") % m).cast("string"), F.lit('"'))).otherwise((F.col("p_partkey") % m).cast("string")) for m in (5, 3)])
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("form_id"), "p_type", text.alias("form"))
+
+
+@query("SELECT p_type, count(*) AS n, count(DISTINCT p_partkey % 5 = p_partkey % 3) AS n_forms FROM part GROUP BY p_type")
+def t1_canonical(spark, sf_dir):
+    forms = _part_forms(spark, sf_dir, "local").withColumn("c", behaviors.canonical_text("form"))
+    return forms.groupBy("p_type").agg(F.count("*").alias("n"), F.countDistinct("c").alias("n_forms"))
+
+
+@query("SELECT p_partkey AS form_id, concat('(sift f0 v0 (branch (method ok v0) (variant Some (method ', p_brand, ' v0)) (variant None)))') AS form FROM part")
+def t2_simplified(spark, sf_dir):
+    text = F.format_string('["transform",null,[["retain",null,[["free",3,[],[]],["method","ok",[["local",1,[],[]]],[]]],[["bind",1,[]]]],["method","%s",[["local",2,[],[]]],[]]],[["bind",2,[]]]]', F.col("p_brand"))
+    forms = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("form_id"), text.alias("form"))
+    return forms.select("form_id", behaviors.canonical_text(behaviors.simplified("form")).alias("form"))
+
+
+@query("SELECT p_partkey AS function_id, p_type, 'exact' AS mode FROM part WHERE p_partkey % 5 = p_partkey % 3")
+def t3_matches(spark, sf_dir):
+    """A pattern for each type: the operator over one hole twice."""
+    functions = _part_forms(spark, sf_dir).select(F.col("form_id").alias("function_id"), F.lit("x").alias("language"), F.lit("repo").alias("source_sha256"), "form")
+    types = table(spark, sf_dir, "part").select("p_type").distinct()
+    library = types.select(F.xxhash64("p_type").alias("library_id"), "p_type", F.lit("x").alias("language"), F.lit("lib").alias("source_sha256"), F.format_string('["binary","%s",[["free",0,[],[]],["free",0,[],[]]],[]]', F.col("p_type")).alias("form"))
+    return behaviors.match(library, functions).join(library.select("library_id", "p_type"), "library_id").select("function_id", "p_type", "mode")
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 5::BIGINT, 3, 1::BIGINT, 2::BIGINT), (2, 7, 2, 2, 0), (3, 6, 3, 1, 0)) AS t(form_id, size, depth, anchors, holes)")
+def a6_form_metrics(spark, sf_dir):
+    rows = [
+        (1, '["traverse",null,[["free",0,[],[]],["method","push",[["free",1,[],[]],["local",0,[],[]]],[]]],[["bind",0,[]]]]'),
+        (2, '["select",null,[["local",0,[],[]],["local",1,[],[]],["do",null,[],[]]],[["variant","A",[["bind",1,[]]]],["variant","B",[]]]]'),
+        (3, '["do",null,[["lit",null,[],[]],["collect","list",[["local",0,[],[]]],[]],["return",null,[["local",1,[],[]]],[]]],[]]'),
+    ]
+    return behaviors.metrics(behaviors.node_table(spark.createDataFrame(rows, "form_id long, form string"))).select("form_id", "size", "depth", "anchors", "holes")
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 3::BIGINT, 2), (2, 3, 1), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 0)) AS t(start, callable_id, hops)")
+def r7_delegations(spark, sf_dir):
+    c = spark.sql("SELECT * FROM (VALUES (1L, 'a', 'fa', 'b'), (2L, 'b', 'fb', 'c'), (3L, 'c', 'fc', NULL), (4L, 'd', 'fd', 'twin'), (5L, 'twin', 'f', NULL), (6L, 'twin', 'f', NULL)) AS t(callable_id, name, form, delegates_to)")
+    return behaviors.delegations(c).select("start", "callable_id", "hops")
