@@ -122,7 +122,7 @@ def id_filter(ids: DataFrame, column: str, n: int, most_bits: int = 1 << 29):
     bits = 1 << 15
     while bits < min(16 * n, most_bits):
         bits *= 2
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    at = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(bits))
     own = ids.select((at(F.col(column)) + 1).alias("p"))  # bucket and bit numbers count from 1 and 0
     maps = own.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
     field = bytearray(bits // 8)
@@ -131,20 +131,42 @@ def id_filter(ids: DataFrame, column: str, n: int, most_bits: int = 1 << 29):
         field[lo : lo + 4096] = r["m"]
     shared = spark.sparkContext.broadcast(bytes(field))
 
-    def keep(df: DataFrame, id_col: str) -> DataFrame:
+    def keep(df: DataFrame, id_col: str, others: bool = False) -> DataFrame:
+        """Rows that may be among ids; with others all the other rows, those with a
+        null id among them."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flags = np.frombuffer(shared.value, np.uint8)
             for batch in batches:
-                p = batch.column(batch.num_columns - 1).to_numpy()
-                hit = (flags[p >> 3] >> (p & 7).astype(np.uint8)) & 1
-                kept = batch.filter(pa.array(hit.astype(bool)))
+                column = batch.column(batch.num_columns - 1)
+                p = column.fill_null(0).to_numpy()
+                hit = ((flags[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool) & column.is_valid().to_numpy(zero_copy_only=False)
+                kept = batch.filter(pa.array(hit != others))
                 yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
 
-        return df.where(F.col(id_col).isNotNull()).withColumn("_p", at(F.col(id_col))).mapInArrow(run, df.schema)
+        place = F.when(F.col(id_col).isNotNull(), at(F.col(id_col).cast("long")))
+        return df.withColumn("_p", place).mapInArrow(run, df.schema)
 
     return keep
 
 
+#: Rows that are broadcast at most: about 10 MB of ids and digests.
+MOST_BROADCAST = 100_000
+
+
+def without(docs: DataFrame, id_col: str, gone: DataFrame, on, most: int | None = None) -> DataFrame:
+    """The rows of docs that meet no row of gone (_gone_id, ...) under on, which holds
+    equal ids at least. A short list is broadcast. With a long one only the rows
+    whose id may be in it are shuffled: all others, texts and all, stay where they
+    are, at the cost of a second scan."""
+    n = gone.count()
+    if n <= (MOST_BROADCAST if most is None else most):
+        return docs.join(F.broadcast(gone), on(docs, gone), "left_anti")
+    keep = id_filter(gone, "_gone_id", n)
+    some = keep(docs, id_col)
+    return keep(docs, id_col, others=True).unionByName(some.join(gone, on(some, gone), "left_anti"))
+
+
 def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node that
     links reach. Alternates large-star and small-star steps, each round written to

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekernel import mix
-from .common import materialise, partitions
+from .common import materialise, partitions, without
 
 _KEYS_PER_BUCKET = 4_000
 _HOT_SHARE = 1000
@@ -223,10 +223,9 @@ def drop_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     stay: no id names them."""
     found = materialise(exact_dedup(docs, text=text, id_col=id_col), "decisions")
     gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_again"))
-    own = digest(docs[text])
     repeated = gone.where("_again").distinct()
-    copies = gone.where("not _again").distinct()
-    out = docs.join(copies, (docs[id_col] == copies["_gone_id"]) & (own == copies["_gone_sha"]), "left_anti")
+    copies = materialise(gone.where("not _again").select("_gone_id", "_gone_sha").distinct(), "copies")
+    out = without(docs, id_col, copies, lambda d, g: (d[id_col].cast("long") == g["_gone_id"]) & (digest(d[text]) == g["_gone_sha"]))
     if repeated.isEmpty():
         return out
     same = (out[id_col] == repeated["_gone_id"]) & (digest(out[text]) == repeated["_gone_sha"])

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekernel import NONSPACE, buffers, hashes, mix, shingles, spans
-from .common import connected_components, id_filter, materialise, partitions, stream_groups, text_batches
+from .common import connected_components, id_filter, materialise, partitions, stream_groups, text_batches, without
 
 #: Ratio of the sizes at a size class's ends.
 _CLASS = 1.6
@@ -318,6 +318,5 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90, text: str = "text",
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs, whole, of which one document of each class stays: that with
     the smallest id. Rows with a null id stay."""
-    gone = classes(docs, k, percent, text, id_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = materialise(gone, "near-duplicates")
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    gone = classes(docs, k, percent, text, id_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
+    return without(docs, id_col, materialise(gone, "near-duplicates"), lambda d, g: d[id_col].cast("long") == g["_gone_id"])

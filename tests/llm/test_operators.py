@@ -371,7 +371,9 @@ def test_large_blocks_are_cut_and_still_whole(spark, monkeypatch):
     assert sorted(map(tuple, ngram_join.classes(documents(spark, docs), 3, 80).collect()), key=str) == want
 
 
-def test_one_of_each_class_stays(spark):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_one_of_each_class_stays(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_BROADCAST", most)
     rng = random.Random(8)
     a = prose(rng, 100)
     docs = documents(spark, [(3, a), (1, a + " more"), (2, prose(rng, 100)), (4, None), (5, None), (None, a)])
@@ -576,7 +578,9 @@ def test_history_wins_and_nonmembers_group_among_themselves(spark):
     assert got == {1: (10, 4, False), 5: (10, 4, False), 2: (2, 2, True), 4: (2, 2, False), 3: (3, 1, True)}
 
 
-def test_dropping_keeps_one_of_each_text(spark):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_dropping_keeps_one_of_each_text(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_BROADCAST", most)
     docs = documents(spark, [(1, "a b"), (1, "a  b"), (2, "a b"), (3, None), (4, ""), (None, "a b"), (2, "c")])
     kept = exact_dedup.drop_duplicates(docs)
     assert kept.columns == docs.columns
