@@ -133,3 +133,27 @@ def python_forms(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()))], names=["path", "name", "start_line", "end_line", "form"])
 
     return files.select("path", "text").mapInArrow(run, "path string, name string, start_line int, end_line int, form string")
+
+
+def derive(callables: DataFrame, max_depth: int = 32) -> DataFrame:
+    """(start, callable_id, form, refusal) of a library's callables (callable_id, name,
+    form, delegates_to): the term of the body that does the work, or why there is
+    none: no-implementation (it delegates to a name that is not unique or not here),
+    no-body, too-deep, not-comparable."""
+    worked = delegations(callables).join(callables.select("callable_id", "delegates_to"), "callable_id")
+    m = metrics(node_table(worked.where("form is not null").select(F.col("start").alias("form_id"), "form"))).select(F.col("form_id").alias("start"), "depth", "reportable")
+    reason = (
+        F.when(F.col("delegates_to").isNotNull(), "no-implementation")
+        .when(F.col("form").isNull(), "no-body")
+        .when(F.col("depth") > max_depth, "too-deep")
+        .when(~F.col("reportable"), "not-comparable")
+    )
+    out = worked.join(m, "start", "left").withColumn("refusal", reason)
+    return out.select("start", "callable_id", F.when(F.col("refusal").isNull(), F.col("form")).alias("form"), "refusal")
+
+
+def opacity(nodes: DataFrame) -> DataFrame:
+    """Per kind of opaque term how often it occurs, and its share of all terms in percent."""
+    total = nodes.agg(F.count("*").alias("_t"))
+    own = nodes.where("tag = 'opaque'").groupBy("name").agg(F.count("*").alias("n"))
+    return own.join(F.broadcast(total)).select("name", "n", F.round(100.0 * F.col("n") / F.col("_t"), 3).alias("percent"))

@@ -77,3 +77,24 @@ def drop_wrappers(df: DataFrame, key: str) -> DataFrame:
     """Ranges that hold no other range of their key: of a nest the innermost stays."""
     w = Window.partitionBy(key).orderBy(F.desc("start"), F.asc("end")).rowsBetween(Window.unboundedPreceding, -1)
     return df.dropDuplicates([key, "start", "end"]).withColumn("_e", F.min("end").over(w)).where(F.col("_e").isNull() | (F.col("_e") > F.col("end"))).drop("_e")
+
+
+def following(items: DataFrame, parent: str, order: str, value: str) -> DataFrame:
+    """items with the value of the next item under the same parent, or the parent's
+    own for the last one."""
+    w = Window.partitionBy(parent).orderBy(order)
+    return items.withColumn("following", F.coalesce(F.lead(value).over(w), F.col(parent).cast("string")))
+
+
+def apart(df: DataFrame, key: str) -> DataFrame:
+    """Ranges [start, end) of a key, taken in order of start unless they overlap the
+    last one taken. The state is one number, folded over a key's sorted ranges."""
+    ranges = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_r"))
+    first = F.struct(F.lit(None).cast("long").alias("end"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("kept"))
+
+    def step(a, x):
+        free = a["end"].isNull() | (x["start"] >= a["end"])
+        own = F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"))
+        return F.struct(F.when(free, own["end"]).otherwise(a["end"]).alias("end"), F.when(free, F.concat(a["kept"], F.array(own))).otherwise(a["kept"]).alias("kept"))
+
+    return ranges.select(key, F.explode(F.aggregate("_r", first, step)["kept"]).alias("_k")).select(key, "_k.start", "_k.end")

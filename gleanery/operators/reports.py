@@ -44,3 +44,12 @@ def coverage(df: DataFrame, key: str, done: str, total: str) -> DataFrame:
 def first_by_order(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def markdown(shape_rows: DataFrame, duplicate_rows: DataFrame, limit: int = 20) -> str:
+    """A report of the commonest shapes and duplicated forms, `limit` lines of each."""
+    lines = ["# Reuse", "", "## Shapes", "", "| sites | files | size | form |", "|-:|-:|-:|-|"]
+    lines += [f"| {r['sites']} | {r['files']} | {r['size']} | `{r['form']}` |" for r in shape_rows.limit(limit).collect()]
+    lines += ["", "## Duplication", "", "| callables | locations | form |", "|-:|-:|-|"]
+    lines += [f"| {r['callables']} | {r['locations']} | `{r['form']}` |" for r in duplicate_rows.limit(limit).collect()]
+    return "\n".join(lines) + "\n"

@@ -419,3 +419,29 @@ def test_command_line(tmp_path, capsys):
     (tmp_path / "a").write_text("1")
     assert main(["digest", str(tmp_path)]) == 0 and len(capsys.readouterr().out.strip()) == 64
     assert main(["pack", "validate", str(tmp_path)]) == 2
+
+
+def test_derivations_say_why_not(spark):
+    good = T.dumps(T.Form("traverse", None, (T.Form("free", 0), T.Form("method", "push", (T.Form("path", "out"), T.Form("method", "get", (T.Form("local", 0),))))), (T.Pattern("bind", 0),)))
+    deep = T.Form("lit")
+    for _ in range(40):
+        deep = T.Form("return", None, (deep,))
+    c = spark.createDataFrame([(1, "a", None, "b"), (2, "b", good, None), (3, "c", None, "gone"), (4, "d", None, None), (5, "e", T.dumps(deep), None), (6, "f", T.dumps(T.Form("lit")), None)], "callable_id long, name string, form string, delegates_to string")
+    got = {r["start"]: r["refusal"] or r["form"] for r in behaviors.derive(c).collect()}
+    assert got == {1: good, 2: good, 3: "no-implementation", 4: "no-body", 5: "too-deep", 6: "not-comparable"}
+
+
+def test_following_and_apart(spark):
+    items = spark.createDataFrame([("p", 1, "x"), ("p", 2, "y"), ("q", 1, "z")], "parent string, at long, v string")
+    assert rows(relational.following(items, "parent", "at", "v").select("v", "following")) == [("x", "y"), ("y", "p"), ("z", "q")]
+    r = spark.createDataFrame([("a", 0, 5), ("a", 3, 8), ("a", 5, 6), ("b", 1, 2)], "k string, start long, end long")
+    assert rows(relational.apart(r, "k")) == [("a", 0, 5), ("a", 5, 6), ("b", 1, 2)]
+
+
+def test_reports_in_words(spark):
+    sub = spark.createDataFrame([("(do x)", 7, "a.py", 1, "f"), ("(do x)", 7, "b.py", 1, "g")], "form string, size int, file string, line int, name string")
+    dup = reports.duplication(sub, F.col("file"))
+    text = reports.markdown(reports.shapes(sub, 6, 400), dup)
+    assert "| 2 | 2 | 7 | `(do x)` |" in text and "| 2 | 2 | `(do x)` |" in text
+    nodes = behaviors.node_table(spark.createDataFrame([(1, T.dumps(T.Form("opaque", "goto", (T.Form("lit"),))))], "form_id long, form string"))
+    assert rows(behaviors.opacity(nodes)) == [("goto", 1, 50.0)]

@@ -262,3 +262,12 @@ def test_all_of_the_standard_library_lowers():
 def test_bad_sources_fail_to_parse(source):
     with pytest.raises(SyntaxError):
         functions(source)
+
+
+def test_one_step_of_an_iterator_is_lifted():
+    from gleanery.functions.rewrite import lift_step
+
+    found = lambda v, back=None: sequence([Form("traverse", back, (Form("free", 0), Form("branch", None, (Form("method", "ok", (local(1),)), Form("return", None, (Form("variant", "Some", (v,)),))))), (bind(1),)), Form("variant", "None")])
+    assert str(lift_step(found(local(1)))) == "(retain f0 v1 (method ok v1))"
+    assert lift_step(found(Form("method", "get", (local(1),)))).tag == "sift"
+    assert lift_step(found(local(1), "back")) is None and lift_step(Form("lit")) is None
