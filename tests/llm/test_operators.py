@@ -5,6 +5,7 @@ import struct
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
@@ -385,7 +386,7 @@ def test_one_of_each_class_stays(spark, monkeypatch, most):
 
 # --- 6 token counts
 
-BPE = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")
