@@ -9,6 +9,8 @@ its windows; starts and ends of a diagonal are paired by rank.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,26 +121,35 @@ def without_dominated(matches: DataFrame) -> DataFrame:
 def greedy(matches: DataFrame) -> DataFrame:
     """Matches in order of tokens (descending), changed, place, each kept unless it
     substantially overlaps a kept one on both sides. Only matches of the same two
-    paths can, so the pairs of paths are independent."""
-    order = ["tokens", "changed", "left_from", "left_to", "right_from", "right_to"]
-
-    def close(a: pd.DataFrame, row, side: str):
-        lo, hi = f"{side}_from", f"{side}_to"
-        overlap = (a[hi].clip(upper=row[hi]) - a[lo].clip(lower=row[lo])).clip(lower=0)
-        shorter = (a[hi] - a[lo]).clip(upper=row[hi] - row[lo])
-        return (shorter > 0) & (overlap * 5 >= shorter * 4)
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, ascending=[False] + [True] * 5, kind="stable").reset_index(drop=True)
-        free = pd.Series(True, index=rows.index)
-        keep = []
-        for i, row in rows.iterrows():
-            if free[i]:
-                keep.append(i)
-                free &= ~(close(rows, row, "left") & close(rows, row, "right"))
-        return rows.loc[keep]
-
-    return matches.groupBy("left_path", "right_path").applyInPandas(pick, matches.schema)
+    paths can, so the pairs of paths are independent; those with one match need no
+    Python."""
+    key = ["left_path", "right_path"]
+    counted = matches.withColumn("_n", F.count("*").over(Window.partitionBy(*key)))
+    order = [F.desc("tokens"), "changed", "left_from", "left_to", "right_from", "right_to"]
+    many = counted.where("_n > 1").drop("_n").sortWithinPartitions(*key, *order)
+
+    def close(kept: tuple, row: tuple) -> bool:
+        for lo, hi in ((0, 1), (2, 3)):
+            shorter = min(kept[hi] - kept[lo], row[hi] - row[lo])
+            if shorter <= 0 or 5 * max(0, min(kept[hi], row[hi]) - max(kept[lo], row[lo])) < 4 * shorter:
+                return False
+        return True
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pair, kept = None, []
+        for rows in batches:
+            keep = []
+            sides = zip(*(rows[c].tolist() for c in (*key, "left_from", "left_to", "right_from", "right_to")))
+            for left, right, *place in sides:
+                if (left, right) != pair:
+                    pair, kept = (left, right), []
+                free = not any(close(k, place) for k in kept)
+                if free:
+                    kept.append(place)
+                keep.append(free)
+            yield rows[keep]
+
+    return counted.where("_n = 1").drop("_n").unionByName(many.mapInPandas(pick, matches.schema))
 
 
 def best_per_unit(matches: DataFrame, units: DataFrame) -> DataFrame:
