@@ -31,15 +31,17 @@ class TokenTable:
         return json.loads(self.spark.read.text(f"{self.root}/current.json", wholetext=True).first()[0])
 
     def read(self) -> DataFrame | None:
-        folders = sorted(set(self.versions().values()))
-        if not folders:
+        """The table now: of each version only the bucket folders that still count."""
+        by: dict[str, list[int]] = {}
+        for bucket, version in self.versions().items():
+            by.setdefault(version, []).append(int(bucket))
+        parts = [self.spark.read.parquet(f"{self.root}/{v}").where(F.col("bucket").isin(bs)) for v, bs in sorted(by.items())]
+        if not parts:
             return None
-        live = self.spark.createDataFrame(list(self.versions().items()), "_b string, _v string")
-        parts = [self.spark.read.parquet(f"{self.root}/{v}").withColumn("_v", F.lit(v)) for v in folders]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out.join(F.broadcast(live), (F.col("bucket").cast("string") == F.col("_b")) & (out["_v"] == live["_v"]), "left_semi").drop("_v", "bucket")
+        return out.drop("bucket")
 
     def upsert(self, files: DataFrame, batch_id: int | None = None) -> None:
         """files: path, domain, text (null: the path is gone), version; of rows of one
