@@ -75,17 +75,21 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int
     """Slices of the batches that hold about max_bytes of text each (at least one
     row), with nulls of the text column as empty strings."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column))
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        whole = batch.column(batch.schema.get_field_index(column))
+        sizes = pc.fill_null(pc.binary_length(whole), 0).to_numpy(zero_copy_only=False)
+
+        def part(at: int, n: int, whole=whole) -> pa.Array:
+            """Only a slice is copied, never the batch."""
+            return pc.fill_null(whole.slice(at, n).cast(pa.large_string()), "")
+
         lo = n = 0
         for i, s in enumerate(sizes.tolist()):
             if n and n + s > max_bytes:
-                yield batch.slice(lo, i - lo), texts.slice(lo, i - lo)
+                yield batch.slice(lo, i - lo), part(lo, i - lo)
                 lo, n = i, 0
             n += s
         if lo < batch.num_rows:
-            yield batch.slice(lo), texts.slice(lo)
+            yield batch.slice(lo), part(lo, batch.num_rows - lo)
 
 
 def stream_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

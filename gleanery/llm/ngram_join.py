@@ -109,13 +109,13 @@ def part_signatures(s: np.ndarray, percent: int, common: np.ndarray | None = Non
     return np.concatenate(out)
 
 
-def common_shingles(docs: DataFrame, k: int, text: str, least: int = 4, most: int = 1 << 20) -> np.ndarray:
+def common_shingles(docs: DataFrame, k: int, text: str, least: int = 3, most: int = 1 << 20) -> np.ndarray:
     """Sorted hashes of shingles that many documents hold: counted where `least`
-    texts of one batch of about 4 MB do, added up, the commonest ones (at most
+    texts of one batch of about 2 MB do, added up, the commonest ones (at most
     `most`, 8 MB). They only rank parts; no result depends on which they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_batches(batches, "t", 4 << 20):
+        for _, texts in text_batches(batches, "t", 2 << 20):
             h = np.sort(np.concatenate(document_sets(texts, k)))
             if not len(h):
                 continue

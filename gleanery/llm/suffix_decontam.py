@@ -194,7 +194,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, t
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches, "t", 4 << 20):
+        for batch, texts in text_batches(batches, "t", 1 << 20):
             found = search(texts, blocks)
             columns = [pa.array(found[c], t) for c, t in (("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("longest_words", pa.int64()), ("longest_start", pa.int64()), ("longest_item", pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, *found])
@@ -209,7 +209,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10,
     blocks = [sc.broadcast(b) for b in query_blocks(benchmark, width, block_words, item_text, item_id)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches, text, 4 << 20):
+        for batch, texts in text_batches(batches, text, 1 << 20):
             clean = [not x for x in search(texts, blocks)["contaminated"]]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
