@@ -524,6 +524,21 @@ def test_repeated_passages_are_found_and_clean_documents_left(spark):
     assert compact_windows.near_passages(documents(spark, [])).count() == 0
 
 
+def test_passages_of_frequent_lines_are_tied_to_texts_that_have_them(spark):
+    rng = random.Random(14)
+    fresh = iter(range(10**6))
+    unique = lambda n: " ".join(f"u{next(fresh)}" for _ in range(n))
+    lines = [unique(12) for _ in range(6)]
+    passage = " ".join(lines)
+    # earlier texts hold each line, and each two of them, in other surroundings
+    docs = [(i, " ".join(f"{x} {unique(60)}" for x in rng.sample(lines, 6))) for i in range(8)]
+    docs += [(8 + i, " ".join(f"{unique(60)} {a} {b}" for a, b in zip(lines, lines[1:]))) for i in range(8)]
+    docs += [(100 + i, f"{unique(30)} {passage} {unique(30)}") for i in range(3)]
+    got = compact_windows.near_passages(documents(spark, docs)).collect()
+    assert {(101, 100), (102, 100)} <= {(r["doc_id"], r["match_doc_id"]) for r in got} <= {(101, 100), (102, 100), (102, 101)}
+    assert all(r["n_words"] >= (72 if r["match_doc_id"] == 100 else 50) and r["similarity"] >= 0.8 for r in got)
+
+
 # --- 9 licences
 
 
