@@ -539,6 +539,25 @@ def test_passages_of_frequent_lines_are_tied_to_texts_that_have_them(spark):
     assert all(r["n_words"] >= (72 if r["match_doc_id"] == 100 else 50) and r["similarity"] >= 0.8 for r in got)
 
 
+def test_longer_versions_are_found_in_both_directions():
+    b = np.arange(60, dtype=np.uint32)
+    a = np.concatenate([b[:28], np.arange(1000, 1010, dtype=np.uint32), b[32:]])
+    for x, y in ((a, b), (b, a)):
+        ((i, j, u, v, similarity),) = compact_windows.verify(x, y, 80, 46)
+        assert (j - i, v - u, similarity) == (len(x), len(y), 56 / 70)
+
+
+def test_shorter_passages_are_found_in_stretches_that_fail():
+    far = lambda k, n: np.arange(1000 * k, 1000 * k + n, dtype=np.uint32)
+    b = np.concatenate([np.arange(60, dtype=np.uint32), far(1, 200), np.arange(60, 90, dtype=np.uint32)])
+    a = np.concatenate([np.arange(30, dtype=np.uint32), far(2, 5), np.arange(35, 60, dtype=np.uint32), np.arange(60, 90, dtype=np.uint32)])
+    for x, y in ((a, b), (b, a)):
+        got = compact_windows.verify(x, y, 80, 46)
+        assert len(got) == 1 and got[0][4] >= 0.8
+        i, j, u, v = got[0][:4]
+        assert min(j - i, v - u) >= 46
+
+
 # --- 9 licences
 
 
