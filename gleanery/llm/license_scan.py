@@ -10,6 +10,11 @@ is below a threshold is unknown. A prediction counts once the family's templates
 confirm it: some template's words, in order, are in the paragraph to a minimal
 share of its pairs.
 
+Licence texts are wrapped, so a passage of several lines is scanned too: where words
+of at most twice a template's length hold a minimal share of its pairs, line breaks
+between them or not, the passage from the first of those pairs to the last is
+classified and confirmed like a paragraph.
+
 Null and empty texts have no paragraphs. Rows are scanned where they are; rows
 without a find come back with none, repeated rows as often as they are there.
 """
@@ -171,6 +176,45 @@ class Classifier:
         return max((float(np.isin(t, own).mean()) for t in self.templates[family - 1] if len(t)), default=0.0)
 
 
+def passages(texts: pa.Array, net: Classifier) -> Iterator[tuple[int, int, int, int]]:
+    """(row, family, first byte, end) of passages over several lines that hold the
+    minimal share of a template's pairs; bytes count from the text's first one."""
+    data, offsets = buffers(texts)
+    starts, ends, firsts = spans(data, offsets, ALNUM)
+    if len(starts) < 2:
+        return
+    words = hashes(data, starts, ends)
+    row = np.repeat(np.arange(len(texts)), np.diff(firsts))
+    pair = mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
+    known = np.unique(np.concatenate([t for own in net.templates for t in own]))
+    maybe = np.zeros(1 << 16, bool)
+    maybe[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
+    at = np.flatnonzero(maybe[(pair & np.uint64(0xFFFF)).astype(np.int64)] & (row[:-1] == row[1:]))
+    at = at[np.isin(pair[at], known)]
+    line = np.concatenate([[0], np.cumsum((data == 0x0A) | (data == 0x0D))])
+    for family, own in enumerate(net.templates, 1):
+        for template in own:
+            hits = at[np.isin(pair[at], template)]
+            least, width = net.confirm * len(template), 2 * (len(template) + 1)
+            # texts lie further apart than a passage is long
+            far = hits + row[hits] * (width + 1)
+            count = np.searchsorted(far, far + width) - np.arange(len(far))
+            k, some = 0, np.flatnonzero(count >= least)
+            while k < len(some):
+                # of the starts within one template's length the one that holds most
+                near = some[k : k + int(np.searchsorted(far[some[k:]], far[some[k]] + len(template)))]
+                i = int(near[np.argmax(count[near])])
+                held = hits[i : i + int(count[i])]
+                if len(np.unique(pair[held])) < least:
+                    k += 1
+                    continue
+                a, b = int(starts[held[0]]), int(ends[held[-1] + 1])
+                if line[a] != line[b]:
+                    r = int(row[held[0]])
+                    yield r, family, a - int(offsets[r]), b - int(offsets[r])
+                k = int(np.searchsorted(some, i + int(count[i])))
+
+
 def _pairs(line: str) -> np.ndarray:
     data, offsets = buffers(pa.array([line], pa.large_string()))
     starts, ends, _ = spans(data, offsets, ALNUM)
@@ -280,7 +324,7 @@ SCHEMA = "n_paragraphs long, families array<string>, finds array<struct<family:s
 
 def scan(docs: DataFrame, net: Classifier, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, n_paragraphs, families (sorted, confirmed ones) and finds (the confirmed
-    paragraphs: byte offset, length, probability, share of the template) per row."""
+    paragraphs and passages: byte offset, length, probability, share of the template) per row."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -290,6 +334,7 @@ def scan(docs: DataFrame, net: Classifier, text: str = "text", id_col: str = "do
         for batch, texts in text_batches(batches, "t"):
             lines, row, start = paragraphs(texts)
             finds: list[list[dict]] = [[] for _ in range(len(texts))]
+            ends: list[list[dict]] = [[] for _ in range(len(texts))]  # finds with their last bytes
             if len(lines):
                 best, score = model.predict(lines)
                 for i in np.flatnonzero(best > 0).tolist():
@@ -297,6 +342,19 @@ def scan(docs: DataFrame, net: Classifier, text: str = "text", id_col: str = "do
                     share = model.share(line, int(best[i]))
                     if share >= model.confirm:
                         finds[row[i]].append({"family": model.families[best[i]], "start": int(start[i]), "n_chars": len(line), "score": float(score[i]), "confirmed": share})
+                        ends[row[i]].append(finds[row[i]][-1] | {"end": int(start[i]) + len(line.encode())})
+            found = list(passages(texts, model))
+            if found:
+                parts = [texts[r].as_py().encode()[a:b].decode() for r, _, a, b in found]
+                best, score = model.predict(pa.array(parts, pa.large_string()))
+                for (r, family, a, b), part, k, p in zip(found, parts, best.tolist(), score.tolist()):
+                    name = model.families[family]
+                    if k == family and not any(f["family"] == name and f["start"] < b and a < f["end"] for f in ends[r]):
+                        f = {"family": name, "start": a, "n_chars": len(part), "score": p, "confirmed": model.share(part, family)}
+                        finds[r].append(f)
+                        ends[r].append(f | {"end": b})
+            for x in finds:
+                x.sort(key=lambda f: f["start"])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.bincount(row, minlength=len(texts)), pa.int64()), pa.array([sorted({f["family"] for f in x}) for x in finds], pa.list_(pa.string())), pa.array(finds, pa.list_(find))],
                 names=[id_col, "n_paragraphs", "families", "finds"],

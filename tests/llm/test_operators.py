@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import struct
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -574,6 +575,31 @@ def test_licences_are_found_and_prose_is_not(spark):
     assert license_scan.scan(documents(spark, []), license_scan.train(documents(spark, []))).count() == 0
 
 
+def test_wrapped_notices_are_found(spark):
+    rng = random.Random(15)
+    docs = [(i, "\n".join(prose(rng, 12) for _ in range(5))) for i in range(200)]
+    net = license_scan.train(documents(spark, docs))
+    notice = {"mit": license_scan.TEMPLATES["mit"][2], "gpl": license_scan.TEMPLATES["gpl"][1], "mpl-2.0": license_scan.TEMPLATES["mpl-2.0"][0]}
+    texts, want, i = [], {}, 0
+    for family, t in notice.items():
+        for width in (40, 72):
+            for mark, end in (("", "\n"), (" * ", "\r\n"), ("# é ", "\n")):
+                lines = [mark + x for x in textwrap.wrap(t, width)]
+                texts.append((i, end.join(["é " + prose(rng, 9), *lines, prose(rng, 9)])))
+                want[i] = [family]
+                i += 1
+    texts.append((99, "\n".join(prose(rng, 9) for _ in range(20)) + "\nof the\nterms of the\nsoftware of the"))
+    got = {r["doc_id"]: r for r in license_scan.scan(documents(spark, texts), net).collect()}
+    assert {i: got[i]["families"] for i in want} == want and got[99]["families"] == []
+    for i, t in texts[:-1]:
+        (find,) = got[i]["finds"]
+        part = t.encode()[find["start"] :].decode()[: find["n_chars"]]
+        assert "\n" in part and find["confirmed"] >= 0.5
+    # a notice that follows in another text is none
+    half = notice["mit"].split()
+    assert not any(r["families"] for r in license_scan.scan(documents(spark, [(1, " ".join(half[:12])), (2, " ".join(half[12:24]))]), net).collect())
+
+
 # --- 10 exact dedup
 
 
