@@ -20,6 +20,7 @@ back as often as they are there; a row with a null id counts as held out.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -40,6 +41,7 @@ LEET = {
 }
 #: Signs between the letters of a spaced-out word.
 SEPARATORS = " .-_*,/"
+_GAP = re.compile(r"[ .\-_*,/]+")
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _N = 28  # boundary, a-z, any other letter
 _CODE = {c: i + 1 for i, c in enumerate(_LETTERS)}
@@ -64,8 +66,8 @@ SPAN = re.compile(
     rf"|[A-Za-z]{{2,}}[0-9@$](?![\w{_leet_class}]))"
     r"|(?P<repeat>[A-Za-z]*([A-Za-z])(?i:\4)(?i:\4)[A-Za-z]*)"
 )
-#: Longest word that the channel restores; a longer run is no word.
-_LONGEST = 48
+#: Longest span whose reading is remembered; longer ones are decoded each time.
+_REMEMBERED = 48
 
 
 @dataclass
@@ -97,9 +99,12 @@ class Channel:
         bare = "".join(c for c in text if c not in SEPARATORS or c in LEET)
         runs = [len(m[0]) for m in re.finditer(r"(.)\1*", bare) for _ in m[0]]
         long = iter([n > 2 for n in runs])
-        # state: last two codes, last written letter -> (cost, output)
-        states = {(0, 0, ""): (0.0, "")}
-        for c in text:
+        # state: last two codes, last written letter -> (cost, output as (all before, last sign))
+        states: dict = {(0, 0, ""): (0.0, None)}
+        gaps = list(_GAP.finditer(text))
+        usual = max((g[0] for g in gaps), key=Counter(g[0] for g in gaps).__getitem__, default="")
+        wide = {g.start() for g in gaps if len(g[0]) > len(usual) or (" " in g[0] and " " not in usual)}
+        for i, c in enumerate(text):
             new: dict = {}
             stretched = next(long) if c not in SEPARATORS or c in LEET else False
 
@@ -109,28 +114,34 @@ class Channel:
 
             for (x, y, last), (cost, out) in states.items():
                 if c in SEPARATORS and c not in LEET:
-                    put((x, y, last), cost, out)
+                    # a gap wider than those between letters ends a word
+                    put((x, y, last), cost + (self.gap if i in wide else 0.0), out)
                     if spaced and y:
-                        put((y, 0, ""), cost + self.gap + lm[x][y][0], out + " ")
+                        put((y, 0, ""), cost + (0.0 if i in wide else self.gap) + lm[x][y][0], (out, " "))
                     continue
                 if c in _CODE:
                     k = _CODE[c]
-                    put((y, k, c), cost + lm[x][y][k] + (self.again if c == last and stretched else 0.0), out + c)
+                    put((y, k, c), cost + lm[x][y][k] + (self.again if c == last and stretched else 0.0), (out, c))
                     if c == last:
                         put((x, y, last), cost + (self.dropped if stretched else self.pair), out)
                     continue
                 for a in LEET.get(c, ""):
                     k = _CODE[a]
-                    put((y, k, a), cost + self.sign + lm[x][y][k], out + a)
+                    put((y, k, a), cost + self.sign + lm[x][y][k], (out, a))
                     if a == last:
                         put((x, y, last), cost + self.sign + (self.dropped if stretched else self.pair), out)
-                put((y, 0, ""), cost + self.kept + lm[x][y][0], out + c)
+                put((y, 0, ""), cost + self.kept + lm[x][y][0], (out, c))
             states = new
-        return min((cost + lm[x][y][0], out) for (x, y, _), (cost, out) in states.items())[1]
+        ends = [(cost + lm[x][y][0], out) for (x, y, _), (cost, out) in states.items()]
+        out, read = min(ends, key=lambda e: e[0])[1], []
+        while out:
+            out, c = out
+            read.append(c)
+        return "".join(reversed(read))
 
     def restore(self, text: str) -> str:
         """text with every span of the channel in its cheapest reading."""
-        return SPAN.sub(lambda m: _cached(self, m[0]) if len(m[0]) <= _LONGEST else m[0], text)
+        return SPAN.sub(lambda m: _cached(self, m[0]) if len(m[0]) <= _REMEMBERED else self.decode(m[0]), text)
 
 
 @lru_cache(200_000)

@@ -96,6 +96,14 @@ def test_written_words_are_restored(channel, written, word):
     assert channel.restore(f"you {written} there") == f"you {word} there"
 
 
+def test_spans_of_every_length_are_restored(channel):
+    words = "you said the idiot is stupid and worthless"
+    got = channel.restore(" ".join("-".join(w) for w in words.split())).split()
+    assert {"idiot", "stupid", "worthless"} <= set(got)
+    assert channel.restore("you stu" + "u" * 60 + "pid") == "you stupid"
+    assert len(channel.restore(" ".join("-".join(w) for w in words.split() * 200)).split()) > 800
+
+
 def test_plain_text_is_left_alone(channel):
     for t in ("the cool cat", "THE!! END!!", "page 3 of 100", "a b", "", "token$$$ of###"):
         assert channel.restore(t) == t
