@@ -58,12 +58,13 @@ for _c in range(26):
 _TO_CODE[0x80:] = 27
 
 _leet_class = re.escape("".join(LEET))
-#: A span that the channel may have made: a word with a sign before a letter or as
-#: its last character, single characters with separators, a letter three times.
+#: A span that the channel may have made: a word with a sign before a letter or with
+#: one or two as its last characters, three or more single characters with separators
+#: between them, a letter three times. Three signs after a word are punctuation.
 SPAN = re.compile(
-    rf"(?<![^\W_])(?P<spaced>[A-Za-z{_leet_class}](?:(?:[ .\-_*,/]|[.\-_*,/] )[A-Za-z{_leet_class}]){{3,}})(?![^\W_])"
-    rf"|(?P<leet>(?:[A-Za-z]+|(?<![\w{_leet_class}]))[{_leet_class}]{{1,3}}[A-Za-z](?:[A-Za-z]|[{_leet_class}](?=[A-Za-z{_leet_class}]*[A-Za-z])|[0-9@$](?![\w{_leet_class}]))*"
-    rf"|[A-Za-z]{{2,}}[0-9@$](?![\w{_leet_class}]))"
+    rf"(?<![^\W_])(?P<spaced>[A-Za-z{_leet_class}](?:[ .\-_*,/]+[A-Za-z{_leet_class}]){{2,}})(?![^\W_])"
+    rf"|(?P<leet>(?:[A-Za-z]+|(?<![\w{_leet_class}]))[{_leet_class}]{{1,3}}[A-Za-z](?:[A-Za-z]|[{_leet_class}](?=[A-Za-z{_leet_class}]*[A-Za-z])|[0-9@$]{{1,2}}(?![\w{_leet_class}]))*"
+    rf"|(?:[A-Za-z]{{2,}}[0-9@$]{{1,2}}|[A-Za-z](?:[@$][0-9@$]|[0-9][@$]))(?![\w{_leet_class}]))"
     r"|(?P<repeat>[A-Za-z]*([A-Za-z])(?i:\4)(?i:\4)[A-Za-z]*)"
 )
 #: Longest span whose reading is remembered; longer ones are decoded each time.
@@ -95,7 +96,7 @@ class Channel:
     def decode(self, span: str) -> str:
         """The cheapest reading of a span, in lower case."""
         lm, text = self.lm, span.lower()
-        spaced = sum(c in SEPARATORS for c in text) >= 3 and all(c in SEPARATORS for c in text[1:2])
+        spaced = sum(c in SEPARATORS for c in text) >= 2 and all(c in SEPARATORS for c in text[1:2])
         bare = "".join(c for c in text if c not in SEPARATORS or c in LEET)
         runs = [len(m[0]) for m in re.finditer(r"(.)\1*", bare) for _ in m[0]]
         long = iter([n > 2 for n in runs])
@@ -171,9 +172,15 @@ def suspicious(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     low = data | 0x20
     mark |= letter & (low == after(low, 1)) & (low == after(low, 2))
     either = letter | sign
-    gap = ~either & (data < 0x80)
     alone = either & ~np.concatenate([[False], either[:-1]]) & ~after(either, 1)
-    mark |= alone & (after(alone, 2) | after(alone, 3)) & after(gap, 1)
+    # a single character with gaps around it, then a character that may start and one that may end such a span
+    alnum = letter | (data >= 0x80) | ((data >= 0x30) & (data < 0x3A))
+    before, behind = np.concatenate([[False], alnum[:-1]]), after(alnum, 1)
+    inner = offsets[(offsets > 0) & (offsets < n)]
+    before[inner] = behind[inner - 1] = False
+    solid = np.flatnonzero(either | (data >= 0x80))
+    first, last = (either & ~before)[solid], (either & ~behind)[solid]
+    mark[solid[1:-1]] |= alone[solid[1:-1]] & first[:-2] & last[2:]
     total = np.concatenate([[0], np.cumsum(mark)])
     return total[offsets[1:]] > total[offsets[:-1]]
 

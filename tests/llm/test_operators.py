@@ -96,6 +96,20 @@ def test_written_words_are_restored(channel, written, word):
     assert channel.restore(f"you {written} there") == f"you {word} there"
 
 
+@pytest.mark.parametrize("written, word", [("y o u", "you"), ("y.o.u", "you"), ("s  t  u  p  i  d", "stupid"), ("i..d..i..o..t", "idiot"), ("s.-t.-u.-p.-i.-d", "stupid"), ("worthle$$", "worthless"), ("worthle55", "worthless"), ("w0rthle$$", "worthless")])
+def test_short_wide_and_ending_spellings_are_restored(channel, written, word):
+    assert channel.restore(f"the {written}") == f"the {word}"
+    assert toxicity.suspicious(*bytekernel.buffers(large([f"the {written}"])))[0]
+
+
+def test_spans_at_a_texts_ends_are_suspicious():
+    assert toxicity.suspicious(*bytekernel.buffers(large(["end", "a s s", "next"]))).tolist() == [False, True, False]
+
+
+def test_letters_before_two_signs_have_a_lattice():
+    assert [toxicity.SPAN.search(t)[0] for t in ("an a$$ is", "a s s", "f.u.k", "dumba$$")] == ["a$$", "a s s", "f.u.k", "dumba$$"]
+
+
 def test_spans_of_every_length_are_restored(channel):
     words = "you said the idiot is stupid and worthless"
     got = channel.restore(" ".join("-".join(w) for w in words.split())).split()
