@@ -187,7 +187,7 @@ def r2_distances(spark, sf_dir):
 @query()
 def r3_witnesses(spark, sf_dir):
     flows, seeds = _graph(spark, sf_dir)
-    flows = flows.where("into < 1000000").withColumn("span", F.lit("s"))
+    flows = flows.withColumn("span", F.lit("s"))
     seeds = seeds.withColumn("origin", F.concat(F.lit("supplier "), "node")).withColumn("span", F.lit("s"))
     return graph.witnesses(flows, seeds, flows.select(F.col("into").alias("node")).union(flows.select("from")).union(seeds.select("node")).distinct())
 

@@ -152,6 +152,23 @@ def test_witnesses_are_those_of_breadth_first_search(spark):
     assert {r["start"]: [tuple(x) for x in r["path"]] for r in got.collect()} == want
 
 
+def test_witnesses_of_the_query_cover_the_whole_graph(spark, tmp_path):
+    from gleanery.plans.queries import r3_witnesses
+
+    for name, rows, schema in (
+        ("nation", [(0, 0), (1, 0), (2, 1)], "n_nationkey int, n_regionkey int"),
+        ("supplier", [(1, 0, -5.0), (2, 1, 3.0), (3, 2, 9.0)], "s_suppkey int, s_nationkey int, s_acctbal double"),
+        ("customer", [(1, 0), (2, 1), (3, 2)], "c_custkey int, c_nationkey int"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    flows = [(0, 100), (0, 101), (1, 102), (100, 1001), (101, 1002), (102, 1003), (1000001, 100), (1000002, 101), (1000003, 102), (100, 0), (101, 0), (102, 1)]
+    flows = [(a, b, "s") for a, b in flows]
+    nodes = {x for f in flows for x in f[:2]}
+    want = {n: p for n in nodes if (p := brute_witness(flows, {1001}, n)) is not None}
+    got = {r["start"]: [tuple(x) for x in r["path"]] for r in r3_witnesses(spark, str(tmp_path)).collect()}
+    assert got == want and {1000001, 1000002} <= set(got)
+
+
 def test_reach_classes(spark):
     # 0 <- 1 <- 2 (fallible) ; 3 <- 4 <- 5 ; 6 alone ; 7 <-> 8
     kinds = {0: "infallible", 1: "infallible", 2: "fallible", 3: "optional", 4: "infallible", 5: "infallible", 6: "infallible", 7: "infallible", 8: "infallible", 9: "fallible"}
