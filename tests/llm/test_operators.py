@@ -562,6 +562,68 @@ def test_passages_of_frequent_lines_are_tied_to_texts_that_have_them(spark):
     assert all(r["n_words"] >= (72 if r["match_doc_id"] == 100 else 50) and r["similarity"] >= 0.8 for r in got)
 
 
+@pytest.mark.parametrize("base_last", [True, False])
+def test_families_of_near_copies_stay_connected(spark, base_last):
+    """Most copies are near the base only, not near each other."""
+    rng = random.Random(16)
+    fresh = iter(range(10**6))
+    unique = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    docs, true = [], set()
+    for _ in range(10):
+        base = unique(60)
+        members = [base[:p] + unique(1) + base[p + 1 :] for p in (rng.randrange(60) for _ in range(20))]
+        members = [*members, base] if base_last else [base, *members]
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in members]
+        true |= {(len(docs) + i, len(docs) + j) for i in range(21) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+        docs += [(len(docs) + i, " ".join(unique(rng.randrange(40)) + m + unique(rng.randrange(40)))) for i, m in enumerate(members)]
+    got = {(r["doc_id"], r["match_doc_id"]) for r in compact_windows.near_passages(documents(spark, docs)).collect()}
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in got:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    in_true = {x for pair in true for x in pair}
+    assert len(in_true & {x for pair in got for x in pair}) >= 0.95 * len(in_true)
+    assert sum(find(a) == find(b) for a, b in true) >= 0.95 * len(true)
+    assert all(a // 21 == b // 21 for a, b in got)
+
+
+def test_groups_of_many_heads_are_divided_and_still_linked(spark, monkeypatch):
+    """Large groups under a line of 20 words: near passages that hold it are found, a spanning tree of each."""
+    monkeypatch.setattr(compact_windows, "_SMALL", 4)
+    monkeypatch.setattr(compact_windows, "_LARGE", 12)
+    rng = random.Random(17)
+    fresh = iter(range(10**6))
+    unique = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    line, docs = unique(20), []
+    for i in range(60):
+        docs.append((i, " ".join(unique(50) + line + unique(50))))
+    for f in range(5):
+        passage = unique(25) + line + unique(25)
+        for i in range(4):
+            at = rng.randrange(70)
+            docs.append((100 + 10 * f + i, " ".join(unique(30) + passage[:at] + unique(1) + passage[at + 1 :] + unique(30))))
+    got = {(r["doc_id"], r["match_doc_id"]) for r in compact_windows.near_passages(documents(spark, docs)).collect()}
+    assert all(a >= 100 and a // 10 == b // 10 for a, b in got)
+    assert len({x for pair in got for x in pair}) >= 18
+
+
+def test_nearest_smaller_values():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n = int(rng.integers(0, 40))
+        x, own = rng.integers(1, 9, n).astype(np.uint64), np.sort(rng.integers(0, 4, n))
+        before, after = compact_windows._nearest(x, own, True), compact_windows._nearest(x, own, False)
+        for i in range(n):
+            assert before[i] == max((j for j in range(i) if own[j] == own[i] and x[j] <= x[i]), default=n)
+            assert after[i] == min((j for j in range(i + 1, n) if own[j] == own[i] and x[j] < x[i]), default=n)
+
+
 def test_longer_versions_are_found_in_both_directions():
     b = np.arange(60, dtype=np.uint32)
     a = np.concatenate([b[:28], np.arange(1000, 1010, dtype=np.uint32), b[32:]])
