@@ -613,6 +613,17 @@ def test_groups_of_many_heads_are_divided_and_still_linked(spark, monkeypatch):
     assert len({x for pair in got for x in pair}) >= 18
 
 
+def test_the_base_of_a_large_family_is_compared_first():
+    """200 rows, each unlike the last one in one place: one step joins them all."""
+    rng = np.random.default_rng(4)
+    s = np.tile(rng.integers(0, 60_000, 93), (201, 1)).astype(np.int32)
+    for i in range(200):
+        at = int(rng.integers(0, 88))
+        s[i, at : at + 5] = rng.integers(0, 60_000, 5)
+    i, j, left = compact_windows.links_of(np.array([0]), np.arange(201), s, 80, 46)
+    assert len(i) == 200 and len(left) == 0 and (i == 200).sum() >= 150
+
+
 def test_nearest_smaller_values():
     rng = np.random.default_rng(3)
     for _ in range(50):
