@@ -4,9 +4,11 @@ components."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Paths this driver wrote in the shared folder and has not dropped yet.
-_scratch: list[str] = []
+#: Paths of the shared folder, by the temporary() block they were written in, and of no block.
+_blocks: list[list[str]] = []
+_left: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,8 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. What is there is deleted at the end of the
+    temporary() block, or else, as live results may read it, when Python ends."""
     path = f"{shared_dir(spark)}/gleanery/{name}-{uuid.uuid4().hex[:12]}"
-    _scratch.append(path)
+    if not _left and not _blocks:
+        atexit.register(_sweep, spark)
+    (_blocks[-1] if _blocks else _left).append(path)
     return path
 
 
@@ -56,11 +63,40 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes what this driver wrote with scratch_path(). Only call it when no
-    frame that reads those tables is still wanted."""
-    while _scratch:
-        delete_path(spark, _scratch.pop())
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that is no longer read."""
+    for paths in (*_blocks, _left):
+        if path in paths:
+            paths.remove(path)
+    delete_path(spark, path)
+
+
+def _sweep(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        for path in _left:
+            delete_path(spark, path)
+    _left.clear()
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], tuple[DataFrame, str]]]:
+    """Deletes, at the end, the tables written inside, and those only: nothing that an
+    earlier result reads. What it gives writes a table that outlives the block, and
+    returns it and its path."""
+    own: list[str] = []
+    _blocks.append(own)
+
+    def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        out, path = materialise(df, name), own.pop()
+        (_blocks[-2] if len(_blocks) > 1 else _left).append(path)
+        return out, path
+
+    try:
+        yield kept
+    finally:
+        _blocks.pop()
+        for path in own:
+            delete_path(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,8 +184,10 @@ def id_filter(ids: DataFrame, column: str, n: int, most_bits: int = 1 << 29):
                 kept = batch.filter(pa.array(hit != others))
                 yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
 
-        place = F.when(F.col(id_col).isNotNull(), at(F.col(id_col).cast("long")))
-        return df.withColumn("_p", place).mapInArrow(run, df.schema)
+        place, name = F.when(F.col(id_col).isNotNull(), at(F.col(id_col).cast("long"))), "_p"
+        while name in {c.lower() for c in df.columns}:
+            name += "_"
+        return df.withColumn(name, place).mapInArrow(run, df.schema)
 
     return keep
 
@@ -178,15 +216,18 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
     ever gathered in one row, so a hub of any degree is only a skewed join key,
     which adaptive execution splits.
     """
-    state = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    state = materialise(state, f"{name}-0")
-    paths = [_scratch[-1]]
+    spark = edges.sparkSession
+
+    def written(df: DataFrame, i: int) -> tuple[DataFrame, str]:
+        path = scratch_path(spark, f"{name}-{i}")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
 
     def signature(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    state, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 0)
     before = signature(state)
-    spark = edges.sparkSession
     for i in range(max_rounds):
         if not before[0]:
             break
@@ -196,13 +237,10 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        state = materialise(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), f"{name}-{i + 1}")
-        paths.append(_scratch[-1])
+        old = path
+        state, path = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), i + 1)
+        delete_path(spark, old)
         now = signature(state)
-        if len(paths) > 2:
-            old = paths.pop(0)
-            _scratch.remove(old)
-            delete_path(spark, old)
         if now == before:
             break
         before = now

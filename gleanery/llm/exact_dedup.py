@@ -7,9 +7,10 @@ full digest, the winner's id and the group's size. Rows find their slot and are
 members only if all 32 digest bytes agree. Nonmembers group among themselves.
 
 Lookups meet their bucket by one shuffle of digests (never of texts): a bucket's
-index row sorts before its lookups, which then stream past it. The fewer than
-1,000 digests that each hold over a thousandth of all rows are spread over
-further partitions, each with its own copy of the bucket's index row.
+index row sorts before its lookups, which then stream past it. A digest that holds
+more than half a partition's share of all rows (there are fewer than two such for
+each partition) is spread over as many as it fills, each with its own copy of the
+bucket's index row.
 
 Null text counts as empty. Texts are equal when identical after replacing each
 run of white space by one space. Of equal texts the row with the smallest id
@@ -27,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekernel import mix
-from .common import materialise, partitions, without
+from .common import materialise, partitions, temporary, without
 
 _KEYS_PER_BUCKET = 4_000
-_HOT_SHARE = 1000
-_SALTS = 32
+#: Keys of a bucket at least, where buckets are made smaller so that all partitions have some.
+_LEAST_KEYS = 64
+#: Rows of a digest that are never spread.
+_LEAST_ROWS = 256
 INDEX_SCHEMA = "bucket long, buckets long, n long, level_sizes binary, level_bits binary, slot_digests binary, slot_winners binary, slot_has_winner binary, slot_counts binary"
 
 
@@ -101,7 +104,8 @@ def group_digests(digests: DataFrame) -> DataFrame:
 
 def build_index(groups: DataFrame) -> DataFrame:
     """INDEX_SCHEMA, a row for each bucket, out of (sha, winner, n)."""
-    n = max(1, -(-groups.count() // _KEYS_PER_BUCKET))
+    keys = groups.count()
+    n = max(1, -(-keys // _KEYS_PER_BUCKET), min(2 * partitions(groups.sparkSession), keys // _LEAST_KEYS))
 
     def build(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -132,19 +136,24 @@ class _Slots:
         self.counts = np.frombuffer(row["slot_counts"], np.int64)
 
 
+def hot_digests(groups: DataFrame, total: int) -> DataFrame:
+    """(sha, salts) of the digests that hold over half a partition's share of all rows."""
+    share = max(_LEAST_ROWS, -(-total // partitions(groups.sparkSession)))
+    return groups.where(F.col("n") * 2 > share).select("sha", F.ceil(F.col("n") / share).alias("salts"))
+
+
 def lookup(digests: DataFrame, index: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """(id, sha, member, winner, n, first) for every row of digests (id, sha).
 
-    first: no earlier row has the same id and digest. hot: digests (sha) of which
-    there are few by construction, whose rows are spread by id.
+    first: no earlier row has the same id and digest. hot: the digests (sha, salts) of
+    hot_digests(), whose rows are spread by id.
     """
     spark = digests.sparkSession
     buckets = index.agg(F.max("buckets")).first()[0] or 1
     rows = digests.withColumn("bucket", _bucket("sha", buckets))
     if hot is not None:
-        marks = F.broadcast(hot.select("sha", F.lit(1).alias("is_hot")))
-        rows = rows.join(marks, "sha", "left").withColumn("salt", F.when(F.col("is_hot").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(_SALTS))).otherwise(F.lit(0).cast("long"))).drop("is_hot")
-        hot_buckets = F.broadcast(hot.select(_bucket("sha", buckets).alias("bucket"), F.lit(_SALTS).alias("copies")).distinct())
+        rows = rows.join(F.broadcast(hot), "sha", "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("salts"))).otherwise(F.lit(0).cast("long"))).drop("salts")
+        hot_buckets = F.broadcast(hot.groupBy(_bucket("sha", buckets).alias("bucket")).agg(F.max("salts").alias("copies")))
         index = index.join(hot_buckets, "bucket", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)).cast("long") - 1))).drop("copies")
     else:
         rows, index = rows.withColumn("salt", F.lit(0).cast("long")), index.withColumn("salt", F.lit(0).cast("long"))
@@ -197,14 +206,11 @@ def dedup(digests: DataFrame, history: DataFrame | None = None) -> DataFrame:
     groups = materialise(group_digests(digests if history is None else history), "groups")
     index = materialise(build_index(groups), "mph")
     if history is None:
-        total = digests.count()
-        hot = groups.where(F.col("n") * _HOT_SHARE > total).select("sha")
-        found = lookup(digests, index, hot)
+        found = lookup(digests, index, hot_digests(groups, digests.count()))
         kept = F.col("first") & F.col("id").eqNullSafe(F.col("winner"))
         return found.select(F.col("id").alias("doc_id"), F.col("winner").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
     own = materialise(group_digests(digests), "groups")
-    hot = own.where(F.col("n") * _HOT_SHARE > digests.count()).select("sha")
-    found = materialise(lookup(digests, index, hot), "lookup")
+    found = materialise(lookup(digests, index, hot_digests(own, digests.count())), "lookup")
     members = found.where("member").join(own.select("sha", F.col("n").alias("own_n")), "sha")
     members = members.select(F.col("id").alias("doc_id"), F.col("winner").alias("keep_id"), (F.col("n") + F.col("own_n")).alias("group_size"), F.lit(False).alias("kept"), F.col("sha").alias("text_sha256"))
     others = dedup(found.where("not member").select("id", "sha"))
@@ -221,10 +227,12 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, text: str = "
 def drop_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs that stay, with all their columns. Rows with a null id
     stay: no id names them."""
-    found = materialise(exact_dedup(docs, text=text, id_col=id_col), "decisions")
-    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_again"))
-    repeated = gone.where("_again").distinct()
-    copies = materialise(gone.where("not _again").select("_gone_id", "_gone_sha").distinct(), "copies")
+    with temporary(docs.sparkSession) as kept:
+        found = exact_dedup(docs, text=text, id_col=id_col)
+        again = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+        gone, _ = kept(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"), again.alias("_again")).distinct(), "copies")
+    repeated = gone.where("_again")
+    copies = gone.where("not _again").drop("_again")
     out = without(docs, id_col, copies, lambda d, g: (d[id_col].cast("long") == g["_gone_id"]) & (digest(d[text]) == g["_gone_sha"]))
     if repeated.isEmpty():
         return out

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekernel import NONSPACE, buffers, hashes, mix, shingles, spans
-from .common import connected_components, id_filter, materialise, partitions, stream_groups, text_batches, without
+from .common import connected_components, id_filter, materialise, partitions, stream_groups, temporary, text_batches, without
 
 #: Ratio of the sizes at a size class's ends.
 _CLASS = 1.6
@@ -135,7 +135,8 @@ class SignatureTree:
     """Sets as leaves in a given order, with bitmaps OR-ed upwards."""
 
     def __init__(self, sets: list[np.ndarray]):
-        bits = max(256, 1 << math.ceil(math.log2(4 * max(map(len, sets)))))
+        # by the mean and not the largest size: one large set must not widen all bitmaps; tokens that share a bit count as excess
+        bits = max(256, 1 << math.ceil(math.log2(4 * sum(map(len, sets)) / len(sets))))
         maps = np.zeros((len(sets), bits // 8), np.uint8)
         for i, s in enumerate(sets):
             at = (s & np.uint64(bits - 1)).astype(np.int64)
@@ -318,5 +319,7 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90, text: str = "text",
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs, whole, of which one document of each class stays: that with
     the smallest id. Rows with a null id stay."""
-    gone = classes(docs, k, percent, text, id_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return without(docs, id_col, materialise(gone, "near-duplicates"), lambda d, g: d[id_col].cast("long") == g["_gone_id"])
+    with temporary(docs.sparkSession) as kept:
+        gone = classes(docs, k, percent, text, id_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
+        gone, _ = kept(gone, "near-duplicates")
+    return without(docs, id_col, gone, lambda d, g: d[id_col].cast("long") == g["_gone_id"])

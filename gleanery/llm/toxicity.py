@@ -13,7 +13,8 @@ the labels' rate over all learning rows. The features kept are those whose
 presence tells most between the classes.
 
 Null and empty texts have no features and get the score of the intercept. Without
-any label every score is 0. Rows are scored where they are, so repeated rows come
+any label every score is as good as 0 (under 1e-12). Of repeated labels of one id the
+largest counts. Rows are scored where they are, so repeated rows come
 back as often as they are there; a row with a null id counts as held out.
 """
 
@@ -243,8 +244,10 @@ def trigram_counts(docs: DataFrame, text: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_N**3, np.int64)
         for _, texts in text_batches(batches, "t"):
-            data, _ = buffers(texts)
-            code = np.concatenate([[0, 0], _TO_CODE[data], [0]])
+            data, offsets = buffers(texts)
+            # two boundaries before each text and after the last: no trigram holds letters of two texts
+            code = np.zeros(len(data) + 2 * len(texts) + 2, np.int64)
+            code[np.arange(len(data)) + 2 * np.repeat(np.arange(1, len(texts) + 1), np.diff(offsets))] = _TO_CODE[data]
             total += np.bincount((code[:-2] * _N + code[1:-1]) * _N + code[2:], minlength=_N**3)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["k", "n"])

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, scratch_path
+from .common import MOST_BROADCAST, id_filter, materialise, partitions, scratch_path
 
 #: Fixed values of the Zstandard seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -118,7 +118,16 @@ def write_bundles(pages: DataFrame, folder: str, payload: str = "html", id_col:
     body = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("body")).withColumn("digest", F.sha2("body", 256)).withColumn("long", F.octet_length("body") >= min_revisit)
     copies = own.where("long").groupBy("digest").agg(F.min("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1").select("digest", "winner")
-    rows = own.join(copies, "digest", "left")
+    copies = materialise(copies, "warc-copies")
+    n = copies.count()
+    if n <= MOST_BROADCAST:
+        rows = own.join(F.broadcast(copies), "digest", "left")
+    else:
+        # only bodies that may be revisits leave their place; others are written where they lie
+        repeats = own.select("page_id", "digest").join(copies, "digest").where("page_id <> winner").select("page_id")
+        may = id_filter(repeats, "page_id", repeats.count())
+        named, unnamed = own.where("page_id is not null"), own.where("page_id is null")
+        rows = may(named, "page_id").unionByName(unnamed).join(copies, "digest", "left").unionByName(may(named, "page_id", others=True), allowMissingColumns=True)
     refers = F.when(F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner")), F.col("winner"))
     rows = rows.select("page_id", "url", "body", "digest", refers.alias("refers_to"))
 

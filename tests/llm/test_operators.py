@@ -131,6 +131,18 @@ def test_rows_with_spans_are_always_suspicious(channel):
             assert toxicity.suspicious(*bytekernel.buffers(large([t])))[0], t
 
 
+def test_trigrams_do_not_depend_on_the_order_of_texts(spark):
+    rows = [(i, t) for i, t in enumerate(["an idiot", "", "so what", None, "b", "zz top é", "x" * 9])]
+    a = toxicity.trigram_counts(documents(spark, rows).coalesce(1), "text")
+    b = toxicity.trigram_counts(documents(spark, rows[::-1]).repartition(3), "text")
+    want = Counter()
+    for _, t in rows:
+        codes = [0, 0] + [27 if ord(c) > 127 else toxicity._CODE.get(c, 0) for c in (t or "").replace("é", "éé")] + [0, 0]
+        want.update(zip(codes, codes[1:], codes[2:]))
+    got = {(int(k) // toxicity._N**2, int(k) // toxicity._N % toxicity._N, int(k) % toxicity._N): int(n) for k, n in enumerate(b) if n and k}
+    assert (a[1:] == b[1:]).all() and got == {k: n for k, n in want.items() if k != (0, 0, 0)}
+
+
 def test_toxic_words_are_learnt_and_found_when_disguised(spark):
     rng = random.Random(5)
     rows, labels = [], []
@@ -224,6 +236,14 @@ def test_pages_come_back_from_their_bundles(spark, tmp_path):
     assert warc_bundles.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_long_lists_of_repeats_are_filtered_and_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc_bundles, "MOST_BROADCAST", 0)
+    rows = [(i, "u", "long page " * 20 + str(i // 3)) for i in range(60)] + [(None, "u", "long page " * 20 + "0"), (90, "u", "tiny"), (91, "u", "tiny")]
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc_bundles.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: ("response", None) if i % 3 == 0 else ("revisit", i - i % 3) for i in range(60)} | {None: ("revisit", 0), 90: ("response", None), 91: ("response", None)}
+    assert got == want
+
+
 def test_bundles_are_plain_zstandard_with_a_seek_table(spark, tmp_path):
     import io
 
@@ -727,6 +747,16 @@ def test_exact_groups_are_those_of_brute_force(spark):
     assert exact_dedup.exact_dedup(documents(spark, [])).count() == 0
 
 
+def test_hot_digests_are_spread_by_size(spark):
+    groups = spark.createDataFrame([("a", 100_000), ("b", 10_000), ("c", 1)], "sha string, n long")
+    n = common.partitions(spark)
+    share = -(-110_001 // n)
+    assert {r["sha"]: r["salts"] for r in exact_dedup.hot_digests(groups, 110_001).collect()} == {"a": -(-100_000 // share)}
+    docs = [(i, "hot" if i % 3 else f"t{i}") for i in range(3000)]
+    got = exact_dedup.exact_dedup(documents(spark, docs)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute_exact(docs), key=str)
+
+
 def test_history_wins_and_nonmembers_group_among_themselves(spark):
     history = documents(spark, [(10, "old"), (11, "old"), (12, "other")])
     docs = documents(spark, [(1, "old"), (2, "new"), (3, "new "), (4, "new"), (5, "old")])

@@ -1,6 +1,9 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
+from gleanery.llm import common, exact_dedup, ngram_join
 
 from .helpers import ODD, documents
 from .test_operators import prose
@@ -28,3 +31,45 @@ def test_stages_follow_one_another(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in whole) == sorted(ids["mixing sources"])
     assert sorted(map(tuple, whole)) == sorted(map(tuple, docs.collect()))
+
+
+def test_live_results_outlast_further_runs(spark, tmp_path):
+    rng = random.Random(2)
+    text = prose(rng, 40)
+    rows = [(i, text if i % 3 == 0 else prose(rng, 40), "en", "a") for i in range(40)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, prose(rng, 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    exact, near = exact_dedup.exact_dedup(docs), ngram_join.classes(docs)
+    first = corpus_pipeline.run(spark, str(tmp_path))
+    second = corpus_pipeline.run(spark, str(tmp_path))
+    counts = [x.count() for x in (exact, near, first, second)]
+    assert counts[:2] == [40, 40] and counts[2] == counts[3] > 0
+    assert not common._blocks
+
+
+def test_tables_of_a_block_are_deleted_and_no_others(spark):
+    outer = common.materialise(spark.range(3), "outer")
+    with common.temporary(spark) as kept:
+        inner = common.materialise(spark.range(4), "inner")
+        path, = common._blocks[-1]
+        out, own = kept(inner.union(outer), "kept")
+    assert outer.count() == 3 and out.count() == 7 and own in common._left and path not in common._left
+    jvm = spark.sparkContext._jvm
+    there = lambda x: jvm.org.apache.hadoop.fs.Path(x).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm.org.apache.hadoop.fs.Path(x))
+    assert there(own) and not there(path)
+    common.discard(spark, own)
+    assert not there(own) and own not in common._left
+
+
+def test_empty_tables_and_clashing_names(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "MOST_BROADCAST", 0)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    names = ["_p", "_p_", "_gone_id", "_gone_sha", "_id", "_sha", "_row", "_again", "sig", "key"]
+    rows = [(i, "same words as all the others here" if i < 9 else f"other text {i} " * 9) for i in range(30)] + [(3, "same words as all the others here"), (None, "x y")]
+    docs = documents(spark, rows).withColumns({c: F.lit(c) for c in names})
+    for name, f in corpus_pipeline.STAGES[:4]:
+        out = f(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and all(r[c] == c for r in out.collect() for c in names), name
