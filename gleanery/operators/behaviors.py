@@ -21,7 +21,7 @@ from ..functions.unify import contains, locate
 from .lineage import cut
 from .relational import unique_by
 
-NODES = "node_id int, parent_id int, depth int, ordinal int, tag string, name string, own_size int, own_anchors int"
+NODES = "node_id int, parent_id int, depth int, ordinal int, tag string, name string, own_size int, own_anchors int, decides boolean"
 
 
 @F.pandas_udf(StringType())
@@ -42,7 +42,7 @@ def node_table(forms: DataFrame) -> DataFrame:
         for batch in batches:
             rows = [(i, *r) for i, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if f is not None for r in T.node_rows(T.loads(f))]
             if rows:
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["form_id", *[x.split()[0] for x in NODES.split(", ")]])
 
     return forms.select(F.col("form_id").cast("long"), "form").mapInArrow(run, f"form_id long, {NODES}")
@@ -50,7 +50,7 @@ def node_table(forms: DataFrame) -> DataFrame:
 
 def metrics(nodes: DataFrame) -> DataFrame:
     """(form_id, size, depth, anchors, holes, reportable) by aggregation of nodes."""
-    work = F.bool_or(F.col("tag").isin(sorted(T._WORK)))
+    work = F.bool_or(F.col("tag").isin(sorted(T._WORK)) | F.col("decides"))
     out = nodes.groupBy("form_id").agg(F.sum("own_size").alias("size"), F.max("depth").alias("depth"), F.sum("own_anchors").alias("anchors"), F.countDistinct(F.when(F.col("tag") == "free", F.col("name"))).alias("holes"), work.alias("work"))
     return out.withColumn("reportable", F.expr("size >= 6 and anchors >= 2 and anchors >= holes and work")).drop("work")
 

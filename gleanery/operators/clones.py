@@ -38,14 +38,20 @@ def encoded(tokens: DataFrame, rename: tuple[str, ...] = ()) -> DataFrame:
     return tokens.withColumn("code", F.when(free, F.concat(F.lit("?"), F.col("class"), F.lit(":"), F.col("kind"))).otherwise(_token())).withColumn("dist", F.when(free, back).otherwise(0).cast("int"))
 
 
-def windows(coded: DataFrame, k: int, renamed: bool = True) -> DataFrame:
+def windows(coded: DataFrame, k: int, renamed: bool = True, places: bool = False) -> DataFrame:
     """(file_id, domain, start, digest, before, after): k-token windows by file, with
-    the digests of their neighbours. A distance that leaves its window counts as 0.
+    the digests of their neighbours; with places also first (path, byte, line: where
+    the first token begins) and last (byte, line: where the last one ends). A distance that leaves its window counts as 0.
     Without renaming a window's digest is put together from those of its halves, and
     theirs again, so it takes log2(k) steps over one sort, not k tokens a row."""
     w = Window.partitionBy("file_id").orderBy("ordinal")
+    if places:
+        first = F.struct("path", F.col("start_byte").alias("byte"), F.col("start_line").alias("line"))
+        last = F.lead(F.struct(F.col("end_byte").alias("byte"), F.col("end_line").alias("line")), k - 1).over(w)
+        coded = coded.withColumn("first", first).withColumn("last", last)
+    also = ["first", "last"] * places
     if not renamed:
-        rows = coded.select("file_id", "domain", "ordinal", F.struct(F.xxhash64("code").alias("a"), F.xxhash64(F.reverse("code"), F.lit(1)).alias("b")).alias("digest"))
+        rows = coded.select(*also, "file_id", "domain", "ordinal", F.struct(F.xxhash64("code").alias("a"), F.xxhash64(F.reverse("code"), F.lit(1)).alias("b")).alias("digest"))
         n = 1
         while n < k:
             # the second half may overlap the first where k is no power of two
@@ -54,33 +60,42 @@ def windows(coded: DataFrame, k: int, renamed: bool = True) -> DataFrame:
             both = F.struct(F.xxhash64("digest.a", ahead["a"]).alias("a"), F.xxhash64("digest.b", ahead["b"], F.lit(n)).alias("b"))
             rows = rows.withColumn("digest", F.when(F.col("digest").isNotNull() & ahead.isNotNull(), both))
             n += step
-        rows = rows.where("digest is not null").select("file_id", "domain", F.col("ordinal").alias("start"), "digest")
+        rows = rows.where("digest is not null").select(*also, "file_id", "domain", F.col("ordinal").alias("start"), "digest")
     else:
         run = F.collect_list(F.struct("code", "dist")).over(w.rowsBetween(0, k - 1))
-        rows = coded.select("file_id", "domain", F.col("ordinal").alias("start"), run.alias("run")).where(F.size("run") == k)
+        rows = coded.select(*also, "file_id", "domain", F.col("ordinal").alias("start"), run.alias("run")).where(F.size("run") == k)
         parts = F.transform("run", lambda t, i: F.concat_ws("#", t["code"], F.when(t["dist"] > i, 0).otherwise(t["dist"])))
-        rows = rows.select("file_id", "domain", "start", F.sha2(F.concat_ws("\u0001", parts), 256).alias("digest"))
+        rows = rows.select(*also, "file_id", "domain", "start", F.sha2(F.concat_ws("\u0001", parts), 256).alias("digest"))
     by = Window.partitionBy("file_id").orderBy("start")
     return rows.withColumn("before", F.lag("digest").over(by)).withColumn("after", F.lead("digest").over(by))
 
 
-def seeds(wins: DataFrame, k: int, edge: str | None = None) -> DataFrame:
+def seeds(wins: DataFrame, k: int, edge: str | None = None, place: str | None = None) -> DataFrame:
     """Ordered pairs of equal windows that do not overlap in one file; with edge
-    'before' or 'after' only those whose neighbours on that side differ."""
+    'before' or 'after' only those whose neighbours on that side differ. place: a
+    column of the windows that goes with both sides."""
     a, b = wins.alias("a"), wins.alias("b")
     ordered = (F.col("a.file_id") < F.col("b.file_id")) | ((F.col("a.file_id") == F.col("b.file_id")) & (F.col("a.start") + k <= F.col("b.start")))
     on = (F.col("a.domain") == F.col("b.domain")) & (F.col("a.digest") == F.col("b.digest")) & ordered
     if edge:
         on &= F.col(f"a.{edge}").isNull() | F.col(f"b.{edge}").isNull() | (F.col(f"a.{edge}") != F.col(f"b.{edge}"))
-    return a.join(b, on).select(F.col("a.file_id").alias("left_file"), F.col("a.start").alias("left_start"), F.col("b.file_id").alias("right_file"), F.col("b.start").alias("right_start"))
+    also = [F.col(f"{x}.{place}").alias(f"{side}_{place}") for x, side in (("a", "left"), ("b", "right"))] if place else []
+    return a.join(b, on).select(F.col("a.file_id").alias("left_file"), F.col("a.start").alias("left_start"), F.col("b.file_id").alias("right_file"), F.col("b.start").alias("right_start"), *also)
 
 
 def runs(wins: DataFrame, k: int) -> DataFrame:
-    """_MATCH: maximal runs of equal windows along a diagonal."""
+    """_MATCH: maximal runs of equal windows along a diagonal; of windows with places
+    also <side>_path, _from, _line, _to and _end_line of both sides."""
+    places = "first" in wins.columns
     rank = lambda df: df.withColumn("diagonal", F.col("right_start") - F.col("left_start")).withColumn("r", F.row_number().over(Window.partitionBy("left_file", "right_file", "diagonal").orderBy("left_start")))
-    first = rank(seeds(wins, k, "before"))
-    last = rank(seeds(wins, k, "after")).select("left_file", "right_file", "diagonal", "r", F.col("left_start").alias("_last"))
-    return first.join(last, ["left_file", "right_file", "diagonal", "r"]).select("left_file", "left_start", "right_file", "right_start", (F.col("_last") - F.col("left_start") + k).alias("tokens"))
+    first = rank(seeds(wins, k, "before", "first" if places else None))
+    last = rank(seeds(wins, k, "after", "last" if places else None)).select("left_file", "right_file", "diagonal", "r", F.col("left_start").alias("_last"), *["left_last", "right_last"] * places)
+    also = [
+        F.col(f"{side}_{at}.{field}").alias(f"{side}_{name}")
+        for side in ("left", "right")
+        for at, field, name in (("first", "path", "path"), ("first", "byte", "from"), ("first", "line", "line"), ("last", "byte", "to"), ("last", "line", "end_line"))
+    ]
+    return first.join(last, ["left_file", "right_file", "diagonal", "r"]).select("left_file", "left_start", "right_file", "right_start", (F.col("_last") - F.col("left_start") + k).alias("tokens"), *also * places)
 
 
 def merge_runs(pairs: DataFrame, k: int) -> DataFrame:
@@ -90,14 +105,6 @@ def merge_runs(pairs: DataFrame, k: int) -> DataFrame:
     return islands.groupBy("left_file", "right_file", "diagonal", "island").agg(F.min("left_start").alias("left_start"), F.min("right_start").alias("right_start"), (F.max("left_start") - F.min("left_start") + k).alias("tokens")).select(_MATCH)
 
 
-def _spans(matches: DataFrame, coded: DataFrame, side: str) -> DataFrame:
-    ends = coded.select(F.col("file_id").alias(f"{side}_file"), F.col("ordinal"), "path", "start_byte", "end_byte", "start_line", "end_line")
-    at = ends.select(f"{side}_file", F.col("ordinal").alias(f"{side}_start"), F.col("path").alias(f"{side}_path"), F.col("start_byte").alias(f"{side}_from"), F.col("start_line").alias(f"{side}_line"))
-    to = ends.select(f"{side}_file", F.col("ordinal").alias("_o"), F.col("end_byte").alias(f"{side}_to"), F.col("end_line").alias(f"{side}_end_line"))
-    out = matches.join(at, [f"{side}_file", f"{side}_start"]).withColumn("_o", F.col(f"{side}_start") + F.col("tokens") - 1)
-    return out.join(to, [f"{side}_file", "_o"]).drop("_o")
-
-
 def compared(matches: DataFrame, coded: DataFrame) -> DataFrame:
     """matches with changed (tokens whose text differs) and same (all codes agree
     with distances counted from the match's start)."""
@@ -165,22 +172,24 @@ def best_per_unit(matches: DataFrame, units: DataFrame) -> DataFrame:
     return out.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "match_id")
 
 
-def clones(tokens: DataFrame, k: int = 50, min_lines: int = 5, rename: tuple[str, ...] = (), max_changed_percent: int = 30) -> DataFrame:
+def clones(tokens: DataFrame, k: int = 50, min_lines: int = 5, rename: tuple[str, ...] = (), max_changed_percent: int = 30, units: DataFrame | None = None) -> DataFrame:
     """Exact clones, or with rename (classes of tokens) consistently renamed ones
-    that are not exact, of which at most max_changed_percent of the tokens differ."""
+    that are not exact, of which at most max_changed_percent of the tokens differ.
+    With units (file_id, start_byte, end_byte) the best one of each pair of units."""
     if k < 1 or min_lines < 1 or not 0 <= max_changed_percent <= 100:
         raise ValueError("k and min_lines must be positive, the percentage at most 100")
     coded = encoded(tokens, rename)
-    found = runs(cut(windows(coded, k, bool(rename))), k)
+    found = runs(cut(windows(coded, k, bool(rename), places=True)), k)
     # a run of one file whose sides overlap is dropped whole
     found = found.where("left_file <> right_file or left_start + tokens <= right_start")
     if rename:
-        found = compared(found, coded).where(f"same and changed > 0 and changed * 100 <= tokens * {max_changed_percent}").drop("same")
+        changed = compared(found, coded).where(f"same and changed > 0 and changed * 100 <= tokens * {max_changed_percent}").drop("same")
+        found = found.join(changed, _MATCH)
     else:
         found = found.withColumn("changed", F.lit(0).cast("long"))
-    found = _spans(_spans(found, coded, "left"), coded, "right")
     long_enough = (line_count(F.col("left_line"), F.col("left_end_line")) >= min_lines) & (line_count(F.col("right_line"), F.col("right_end_line")) >= min_lines)
-    return greedy(without_dominated(found.where(long_enough)))
+    out = greedy(without_dominated(cut(found.where(long_enough))))
+    return out if units is None else best_per_unit(out, units).drop("left_unit", "right_unit")
 
 
 def replace_files(tokens: DataFrame, newer: DataFrame) -> DataFrame:

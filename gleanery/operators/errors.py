@@ -30,7 +30,7 @@ def reported(sites: DataFrame, queries: DataFrame) -> DataFrame:
     """Sites that neither bind the cause nor (form, receiver_method of queries)
     answer a question."""
     asked = queries.select(F.col("form").alias("_f"), F.col("receiver_method").alias("_m")).distinct()
-    return sites.where("not binds_cause").join(F.broadcast(asked), (F.col("form") == F.col("_f")) & (F.col("receiver_method") == F.col("_m")), "left_anti")
+    return sites.where("not binds_cause").join(asked, (F.col("form") == F.col("_f")) & (F.col("receiver_method") == F.col("_m")), "left_anti")
 
 
 def discards(sites: DataFrame, queries: DataFrame, regions: DataFrame, callables: DataFrame, ambiguous: list[str]) -> DataFrame:

@@ -66,6 +66,12 @@ def top_share(df: DataFrame, key: str, limit: int) -> DataFrame:
     return counts.join(F.broadcast(total)).withColumn("percent", F.round(100.0 * F.col("n") / F.col("_t"), 1)).drop("_t").orderBy(F.desc("n"), F.asc(key)).limit(limit)
 
 
+def first_appearance(df: DataFrame, group: str, value: str, order: str, name: str = "ordinal") -> DataFrame:
+    """(group, value, name): 1, 2, ... for the values of a group by their first place."""
+    first = df.groupBy(group, value).agg(F.min(order).alias("_first"))
+    return first.select(group, value, F.row_number().over(Window.partitionBy(group).orderBy("_first", value)).alias(name))
+
+
 def keep_outermost(df: DataFrame, key: str) -> DataFrame:
     """Ranges [start, end) of a key that no other, larger range holds (null-safe);
     by a running maximum over starts instead of a self-join."""

@@ -74,9 +74,12 @@ def catalog(spark: SparkSession, path: str, package: str, version: str) -> DataF
 
 
 def reachable(entries: DataFrame, private_modules: DataFrame) -> DataFrame:
-    """Entries (path, ...) in no private module (module)."""
-    inside = F.col("path").startswith(F.concat("module", F.lit("::")))
-    return entries.join(private_modules, inside, "left_anti")
+    """Entries (path, ...) in no private module (module). A path is looked up by each
+    of the modules it lies in, so the joins are on equal keys."""
+    parts = F.split("path", "::")
+    modules = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat_ws("::", F.slice(parts, F.lit(1), i)))
+    inside = entries.where(F.size(parts) > 1).select("path", F.explode(modules).alias("module")).join(private_modules.select("module").distinct(), "module", "left_semi")
+    return entries.join(inside.select("path").distinct(), "path", "left_anti")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
