@@ -1,26 +1,7 @@
 """Small relations that stand in for observations the driver's tables do not hold,
 as SQL that Spark and DuckDB read alike."""
 
-ENUM_VARIANTS = "SELECT * FROM (VALUES ('Color', 0, 'DarkRed'), ('Color', 1, 'Blue'), ('Shape', 0, 'Round'), ('Shape', 1, 'HalfOpen'), ('Gap', 0, 'Here'), ('Gap', 1, 'There'), ('Mode', 0, 'On')) AS t(type, pos, variant)"
-ENUM_ARMS = "SELECT * FROM (VALUES ('Color', 'DarkRed', 'dark-red'), ('Color', 'Blue', 'blue'), ('Shape', 'Round', 'round'), ('Shape', 'HalfOpen', 'half_open'), ('Gap', 'Here', 'here'), ('Mode', 'On', 'off')) AS t(type, variant, value)"
-ARRAY_ELEMENTS = "SELECT * FROM (VALUES ('Color', 0, 'DarkRed'), ('Color', 1, 'Blue'), ('Shape', 0, 'HalfOpen'), ('Shape', 1, 'Round')) AS t(type, pos, element)"
-DISPLAYS = "SELECT * FROM (VALUES ('Color'), ('Gap')) AS t(type)"
-PREFERS = "SELECT * FROM (VALUES ('Shape', 'kebab-case'), ('Color', 'kebab-case')) AS t(type, case_name)"
 FIELDS = "SELECT * FROM (VALUES (1, 'extern struct', 'next', '*Node'), (2, 'extern struct', 'data', '*u8'), (3, 'struct', 'global', '*jsc.JSGlobalObject'), (4, 'struct', 'cb', '?*const fn (*anyopaque) void'), (5, 'struct', '#prev', '?*Node'), (6, 'struct', '_Parent', '*Tree'), (7, 'struct', 'shape', '*Transform'), (8, 'struct', 'count', 'u32'), (9, 'struct', 'next_tick_queue', '*Queue'), (10, 'struct', 'owner', '*Thing')) AS t(field_id, container_kind, name, zig_type)"
-ASSIGNMENTS = "SELECT * FROM (VALUES (7, 'Data.Store.append(x)'), (9, 'bunVM()'), (10, 'alloc.create(T)')) AS t(field_id, value)"
-METHOD_CALLS = "SELECT * FROM (VALUES (10, 'deref'), (9, 'push')) AS t(field_id, method)"
 CALLABLES = "SELECT * FROM (VALUES (0, 'app::adapter', 'adapter', 'app', NULL), (1, 'app::service', 'service', 'app', NULL), (2, 'app::handler', 'handler', 'app', NULL), (3, 'app::handler::helper', 'helper', 'app', 'app::handler'), (4, 'util::Tree::walk', 'walk', 'util', NULL), (5, 'util::Graph::walk', 'walk', 'util', NULL), (6, 'util::helper', 'helper', 'util', NULL)) AS t(callable_id, path, name, module, parent)"
 CALLS = "SELECT * FROM (VALUES (0, 0, 'std::fs::read', 's0'), (1, 1, 'adapter', 's1'), (2, 2, 'service', 's2'), (3, 2, 'helper', 's3'), (4, 3, 'Tree::walk', 's4'), (5, 4, 'walk', 's5'), (6, 4, 'Vec::with_capacity', 's6'), (7, 5, 'values.iter', 's7'), (8, 5, 'other::thing', 's8'), (9, 6, 'mystery', 's9'), (10, 6, 'Some', 's10'), (11, 6, 'std::env::var::<str>', 's11')) AS t(call_id, caller_id, callee, span)"
 CATALOG = "SELECT * FROM (VALUES ('rust', '1', 'std::fs::read', array('file-read')), ('rust', '2', 'std::fs::read', array('block', 'file-read')), ('rust', '1', 'std::env::var', array('environment-read')), ('zig', '1', 'adapter', array('time'))) AS t(language, version, path, effects)"
-STD_CALLS = "SELECT * FROM (VALUES (1, 'std::env', 'env_imp::getenv'), (2, 'std::thread', 'imp::sleep'), (3, 'std::process', 'self.handle.wait'), (4, 'std::fs', 'fs_imp::copy'), (5, 'std::fs', 'fs_imp::rename'), (6, 'std::net', 'net_imp::TcpStream::connect'), (7, 'std::fs', 'other::copy'), (8, 'std::process', 'spawn')) AS t(call_id, module, callee)"
-MANIFESTS = "SELECT * FROM (VALUES ('m1', 'std', 1, 'rust', 'cargo', 'std', '1.0', array('effects', 'forms')), ('m2', 'std', 2, 'rust', 'cargo', 'std', '1.0', array('effects', 'forms')), ('m3', 'std', 2, 'rust', 'cargo', 'std', '1.0', array('effects')), ('m4', 'zed', 5, 'zig', NULL, 'std', '0.1', array('effects')), ('m5', 'zed', 5, 'zig', NULL, 'std', '0.1', array('effects'))) AS t(manifest_digest, name, revision, language, ecosystem, subject, version, provides)"
-REQUIREMENTS = "SELECT * FROM (VALUES ('r1', 'std', 'rust', 'cargo', 'std', '1.0', array('forms')), ('r2', 'zed', 'zig', NULL, 'std', '0.1', array('effects')), ('r3', 'std', 'rust', 'cargo', 'std', '2.0', array('effects'))) AS t(requirement_digest, name, language, ecosystem, subject, version, capabilities)"
-LOCK = "SELECT * FROM (VALUES ('r1', 'm2'), ('r2', 'm4'), ('r2', 'm5'), ('r9', 'm1')) AS t(requirement_digest, manifest_digest)"
-CACHE = "SELECT * FROM (VALUES ('r1', 'm2'), ('r2', 'm5')) AS t(requirement_digest, manifest_digest)"
-
-
-def duck(sql: str) -> str:
-    """The same for DuckDB, which spells lists with brackets."""
-    import re
-
-    return re.sub(r"array\(([^)]*)\)", r"[\1]", sql)

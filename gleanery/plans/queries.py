@@ -10,7 +10,6 @@ from ..functions import effect_rules, names, spans
 from ..operators import behaviors, clones, effects, errors, graph, macros, ownership, packs, relational, reports
 from ..operators.lineage import cut
 from . import inline
-from .inline import duck
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -104,7 +103,9 @@ def o2_renamed_windows(spark, sf_dir):
 
 @query()
 def near_clones(spark, sf_dir):
-    return clones.clones(word_tokens(table(spark, sf_dir, "documents")), k=12, min_lines=2, rename=("literal",), max_changed_percent=50)
+    """Words of nine letters and more are names that a copy may change throughout."""
+    tokens = word_tokens(table(spark, sf_dir, "documents")).withColumn("class", F.when(F.length("lexeme") >= 9, "name").otherwise("other"))
+    return clones.clones(tokens, k=12, min_lines=2, rename=("name",), max_changed_percent=50)
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents")
@@ -229,35 +230,81 @@ def a5_accounting(spark, sf_dir):
     return relational.accounting(table(spark, sf_dir, "events"), b, ["linked_internal", "constructors", "unknown", "dynamic_or_ambiguous"])
 
 
+#: Calls of line items among callables of suppliers; names are unique in a module or they are not.
+_CALLS = """f AS (SELECT s_suppkey AS id, concat('n', s_nationkey) AS module, concat('f', s_suppkey % 40) AS name FROM supplier),
+calls AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS call_id, l_suppkey AS caller, CASE WHEN l_suppkey % 10 <> 0 AND l_partkey % 8 < 2 THEN 7 ELSE l_partkey % 8 END AS kind, concat('f', l_partkey % 40) AS name, concat('n', l_partkey % 25) AS module FROM lineitem),
+own AS (SELECT module, name, min(id) AS id FROM f GROUP BY 1, 2 HAVING count(*) = 1),
+j AS (SELECT call_id, caller, kind, CASE kind WHEN 2 THEN a.id WHEN 3 THEN coalesce(b.id, a.id) END AS callee FROM calls JOIN f ON f.id = caller LEFT JOIN own AS a ON a.module = f.module AND a.name = calls.name LEFT JOIN own AS b ON b.module = calls.module AND b.name = calls.name)"""
+
+
+def _calls(spark, sf_dir):
+    supplier, li = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "lineitem")
+    text = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    module, name = text("n", F.col("s_nationkey")), text("f", F.col("s_suppkey") % 40)
+    callables = supplier.select(F.col("s_suppkey").alias("callable_id"), F.concat_ws("::", module, name).alias("path"), name.alias("name"), module.alias("module"), F.lit(None).cast("string").alias("parent"))
+    kind = F.when((F.col("l_suppkey") % 10 != 0) & (F.col("l_partkey") % 8 < 2), 7).otherwise(F.col("l_partkey") % 8)
+    target = text("f", F.col("l_partkey") % 40)
+    fixed = {0: "std::fs::read::<str>", 1: "Vec::with_capacity", 4: "Some", 5: "x.zz", 6: "other::thing"}
+    callee = F.when(kind == 2, target).when(kind == 3, F.concat_ws("::", text("n", F.col("l_partkey") % 25), target))
+    for k, v in fixed.items():
+        callee = callee.when(kind == k, v)
+    calls = li.select(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("call_id"), F.col("l_suppkey").alias("caller_id"), callee.otherwise("mystery").alias("callee"), F.lit("s").alias("span"))
+    return effects.classify_calls(calls, callables, effects.merged_catalog(spark.sql(inline.CATALOG)))
+
+
 @query(
-    f"""SELECT * FROM (VALUES (0, 'known_effect_origins', NULL, 'std::fs::read'), (1, 'linked_internal', 0, NULL), (2, 'linked_internal', 1, NULL), (3, 'linked_internal', 3, NULL), (4, 'linked_internal', 4, NULL), (5, 'unknown', NULL, NULL),
- (6, 'known_effect_origins', NULL, 'rust:allocation:Vec::with_capacity'), (7, 'dynamic_or_ambiguous', NULL, NULL), (8, 'outside_selected_corpus', NULL, NULL), (9, 'unknown', NULL, NULL), (10, 'constructors', NULL, NULL), (11, 'known_effect_origins', NULL, 'std::env::var')) AS t(call_id, bucket, callee_id, origin)"""
+    f"""WITH {_CALLS} SELECT call_id, CASE WHEN kind < 2 THEN 'known_effect_origins' WHEN callee IS NOT NULL THEN 'linked_internal' WHEN kind = 4 THEN 'constructors' WHEN kind = 5 THEN 'dynamic_or_ambiguous' WHEN kind IN (3, 6) THEN 'outside_selected_corpus' ELSE 'unknown' END AS bucket,
+ callee AS callee_id, CASE kind WHEN 0 THEN 'std::fs::read' WHEN 1 THEN 'rust:allocation:Vec::with_capacity' END AS origin FROM j"""
 )
 def j11_classified_calls(spark, sf_dir):
-    return _classified(spark).select("call_id", "bucket", "callee_id", "origin")
-
-
-def _classified(spark):
-    return effects.classify_calls(spark.sql(inline.CALLS), spark.sql(inline.CALLABLES), effects.merged_catalog(spark.sql(inline.CATALOG)))
+    return _calls(spark, sf_dir).select("call_id", "bucket", "callee_id", "origin")
 
 
 @query(
-    """SELECT * FROM (VALUES ('app::adapter', 'block', 0), ('app::adapter', 'file-read', 0), ('app::service', 'block', 1), ('app::service', 'file-read', 1), ('app::handler', 'block', 2), ('app::handler', 'file-read', 2), ('util::Tree::walk', 'allocate', 0),
- ('app::handler::helper', 'allocate', 1), ('app::handler', 'allocate', 2), ('util::helper', 'environment-read', 0)) AS t(callable, effect, hops)"""
+    f"""WITH RECURSIVE {_CALLS}, e AS (SELECT DISTINCT caller AS into_, callee AS from_ FROM j WHERE callee IS NOT NULL),
+d(node, effect, hops) AS (SELECT DISTINCT caller, unnest(CASE kind WHEN 0 THEN ['block', 'file-read'] ELSE ['allocate'] END), 0 FROM j WHERE kind < 2 UNION SELECT into_, effect, hops + 1 FROM d JOIN e ON from_ = node WHERE hops < 10)
+SELECT node AS callable_id, effect, min(hops)::INTEGER AS hops FROM d GROUP BY 1, 2"""
 )
 def r4_effect_traces(spark, sf_dir):
-    seeds, flows = effects.seeds_and_flows(_classified(spark))
-    return effects.traces(seeds, flows, spark.sql(inline.CALLABLES)).select("callable", "effect", F.size("route").alias("hops"))
+    supplier = table(spark, sf_dir, "supplier")
+    callables = supplier.select(F.col("s_suppkey").cast("long").alias("callable_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("path"))
+    found = effects.traces(*effects.seeds_and_flows(_calls(spark, sf_dir)), callables)
+    return found.select("callable_id", "effect", F.size("route").alias("hops")).distinct()
 
 
-@query("""SELECT path, list_sort(list_distinct(list(e))) AS effects FROM (SELECT path, unnest(effects) AS e FROM (""" + duck(inline.CATALOG) + """) WHERE language = 'rust') GROUP BY path""")
+@query(
+    """SELECT p_type AS path, list_sort(list(DISTINCT e)) AS effects FROM (SELECT p_type, unnest([concat('e', p_size % 5), concat('e', p_partkey % 3)]) AS e FROM part WHERE p_partkey % 4 <> 0) GROUP BY 1"""
+)
 def a8_merged_catalog(spark, sf_dir):
-    return effects.merged_catalog(spark.sql(inline.CATALOG))
+    """Each part a catalog's row, those of every fourth one of another language."""
+    effect = lambda x: F.concat(F.lit("e"), x.cast("string"))
+    rows = table(spark, sf_dir, "part").select(
+        F.when(F.col("p_partkey") % 4 == 0, "zig").otherwise("rust").alias("language"),
+        F.col("p_type").alias("path"), F.array(effect(F.col("p_size") % 5), effect(F.col("p_partkey") % 3)).alias("effects"),
+    )
+    return effects.merged_catalog(rows)
+
 
+#: Calls of a standard library and the effects the rules give them.
+_STD = [
+    ("std::env", "env_imp::getenv", "environment-read"), ("std::env", "env_imp::setenv", "environment-write"), ("std::thread", "imp::sleep", "block,time"),
+    ("std::time", "self.time::SystemTime::now", "time"), ("std::process", "self.handle.wait", "block,process"), ("std::process", "spawn", "process"), ("std::thread", "spawn", ""),
+    ("std::fs", "fs_imp::copy", "file-read,file-write"), ("std::fs", "fs_imp::rename", "file-write"), ("std::fs", "fs_imp::exists", "file-read"), ("std::fs", "other::copy", ""),
+    ("std::net", "net_imp::TcpStream::connect", "block,network"), ("std::process", "imp::output", "block,process"),
+]
 
-@query("""SELECT * FROM (VALUES (1, 'environment-read'), (2, 'block,time'), (3, 'block,process'), (4, 'file-read,file-write'), (5, 'file-write'), (6, 'block,network'), (7, ''), (8, 'process')) AS t(call_id, effects)""")
+
+@query(
+    "SELECT l_orderkey * 10 + l_linenumber AS call_id, CASE WHEN l_partkey % 26 >= 13 AND c = 'spawn' AND m = 'std::thread' THEN 'process' ELSE e END AS effects FROM lineitem JOIN (VALUES "
+    + ", ".join(f"({i}, '{m}', '{c}', '{e}')" for i, (m, c, e) in enumerate(_STD))
+    + ") AS t(i, m, c, e) ON l_partkey % 13 = i"
+)
 def p14_origin_effects(spark, sf_dir):
-    return spark.sql(inline.STD_CALLS).select("call_id", F.concat_ws(",", effect_rules.origin_effects(F.col("module"), F.col("callee"))).alias("effects"))
+    """A call for each line item; a thread's spawn is one of std::process every other time."""
+    std = spark.createDataFrame([(i, m, c) for i, (m, c, _) in enumerate(_STD)], "i int, module string, callee string")
+    calls = table(spark, sf_dir, "lineitem").join(F.broadcast(std), F.col("l_partkey") % 13 == F.col("i"))
+    module = F.when((F.col("l_partkey") % 26 >= 13) & (F.col("module") == "std::thread") & (F.col("callee") == "spawn"), "std::process").otherwise(F.col("module"))
+    return calls.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), F.concat_ws(",", effect_rules.origin_effects(module, F.col("callee"))).alias("effects"))
 
 
 @query(
@@ -285,15 +332,42 @@ def a9_primary(spark, sf_dir):
     return relational.primary_and_alternatives(n, "p_brand", "p_type", F.col("c"))
 
 
-@query("""SELECT * FROM (VALUES ('Color', 'Display'), ('Color', 'AsRefStr'), ('Color', 'VariantArray')) AS t(type, macro)""")
+#: Enums out of parts: a type for each brand and size, variants of one word and of two.
+_ENUMS = """v AS (SELECT DISTINCT concat(p_brand, '/', p_size) AS type, p_partkey % 7 AS pos, CASE WHEN p_size % 3 = 0 THEN concat('Kind', p_partkey % 7) ELSE concat('DarkKind', p_partkey % 7) END AS variant FROM part),
+a AS (SELECT type, variant, CASE WHEN type LIKE '%1' THEN 'other' ELSE replace(replace(variant, 'DarkKind', CASE WHEN length(type) % 2 = 0 THEN 'dark-kind' ELSE 'dark_kind' END), 'Kind', 'kind') END AS value FROM v WHERE NOT (type LIKE '%2' AND pos = 0)),
+vs AS (SELECT type, list_sort(list(variant)) AS l FROM v GROUP BY 1),
+f AS (SELECT a.type, list_sort(list(variant)) AS l, bool_and(value = replace(replace(variant, 'DarkKind', 'dark-kind'), 'Kind', 'kind')) AS k, bool_and(value = replace(replace(variant, 'DarkKind', 'dark_kind'), 'Kind', 'kind')) AS n FROM a GROUP BY 1),
+e AS (SELECT vs.type, coalesce(vs.l = f.l, false) AS exhaustive, coalesce(vs.l = f.l AND k, false) AS kebab, coalesce(vs.l = f.l AND n, false) AS snake FROM vs LEFT JOIN f USING (type))"""
+
+
+def _enums(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    kind = F.col("p_partkey") % 7
+    v = part.select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("type"), kind.alias("pos"), F.concat(F.when(F.col("p_size") % 3 == 0, "Kind").otherwise("DarkKind"), kind.cast("string")).alias("variant")).distinct()
+    two_words = F.when(F.length("type") % 2 == 0, F.lit("dark-kind")).otherwise(F.lit("dark_kind"))
+    spelled = F.regexp_replace(F.replace("variant", F.lit("DarkKind"), two_words), "Kind", "kind")
+    arms = v.where("not (type like '%2' and pos = 0)").select("type", "variant", F.when(F.col("type").endswith("1"), "other").otherwise(spelled).alias("value"))
+    return v, arms
+
+
+@query(
+    f"""WITH {_ENUMS}, c AS (SELECT type, 'kebab-case' AS c FROM e WHERE kebab UNION ALL SELECT type, 'snake_case' FROM e WHERE snake),
+one AS (SELECT type, count(*) AS n FROM c GROUP BY 1), p AS (SELECT DISTINCT type, 'snake_case' AS w FROM v WHERE type LIKE '%5' OR type LIKE '%6')
+SELECT type, 'Display' AS macro, c AS case_name FROM c WHERE type NOT LIKE '%4' UNION ALL SELECT type, 'AsRefStr', c FROM c JOIN one USING (type) LEFT JOIN p USING (type) WHERE w = c OR (w IS NULL AND n = 1)
+UNION ALL SELECT type, 'VariantArray', NULL FROM vs WHERE type NOT LIKE '%7' OR len(l) = 1"""
+)
 def a10_a13_enum_macros(spark, sf_dir):
-    s = spark.sql
-    return macros.matches(s(inline.ENUM_VARIANTS), s(inline.ENUM_ARMS), s(inline.DISPLAYS), s(inline.ARRAY_ELEMENTS), s(inline.PREFERS).withColumnRenamed("case_name", "case"))
+    """Arrays list the variants in order, of types that end in 7 backwards."""
+    v, arms = _enums(spark, sf_dir)
+    types = v.select("type").distinct()
+    elements = v.select("type", F.when(F.col("type").endswith("7"), -F.col("pos")).otherwise(F.col("pos")).alias("pos"), F.col("variant").alias("element"))
+    prefers = types.where("type like '%5' or type like '%6'").withColumn("case", F.lit("snake_case"))
+    return macros.matches(v, arms, types.where("type not like '%4'"), elements, prefers).withColumnRenamed("case", "case_name")
 
 
-@query("""SELECT * FROM (VALUES ('Color', true, 'kebab-case'), ('Shape', true, 'snake_case'), ('Gap', false, NULL), ('Mode', true, NULL)) AS t(type, exhaustive, case_name)""")
+@query(f"WITH {_ENUMS} SELECT * FROM e")
 def a11_exhaustive(spark, sf_dir):
-    return macros.exhaustive(spark.sql(inline.ENUM_VARIANTS), spark.sql(inline.ENUM_ARMS)).withColumnRenamed("case", "case_name")
+    return macros.exhaustive(*_enums(spark, sf_dir))
 
 
 @query("""SELECT * FROM (VALUES (1, 'extern-link', 'INTRUSIVE', 75.0::DOUBLE), (2, 'extern-container', 'FFI', 91.6), (3, 'jsc-type', 'JSC_BORROW', 83.2), (4, 'fn-pointer', 'STATIC', 76.4), (5, 'link-name', 'INTRUSIVE', 90.3), (6, 'parent-name', 'BACKREF', 81.8), (10, 'parent-name', 'BACKREF', 81.8)) AS t(field_id, rule, class, precision)""")
@@ -301,9 +375,20 @@ def ow1_declaration(spark, sf_dir):
     return ownership.classify(spark.sql(inline.FIELDS)).select("field_id", "rule", "class", "precision")
 
 
-@query("""SELECT * FROM (VALUES (7, 'ARENA', true), (9, 'STATIC', false), (10, 'SHARED', true)) AS t(field_id, class, can_double_free)""")
+@query(
+    """WITH f AS (SELECT p_partkey AS field_id, p_partkey % 10 AS d, CASE p_partkey % 3 WHEN 0 THEN concat('*', p_type) WHEN 1 THEN p_type ELSE '?*u8' END AS t FROM part),
+r AS (SELECT field_id, CASE WHEN d IN (1, 4) THEN 'ARENA' WHEN d IN (2, 5) THEN 'SHARED' WHEN d IN (3, 6) THEN 'STATIC' END AS class FROM f WHERE contains(t, '*'))
+SELECT field_id, class, class <> 'STATIC' AS can_double_free FROM r WHERE class IS NOT NULL"""
+)
 def ow2_evidence(spark, sf_dir):
-    return ownership.classify_with_evidence(spark.sql(inline.FIELDS), spark.sql(inline.ASSIGNMENTS), spark.sql(inline.METHOD_CALLS)).select("field_id", "class", "can_double_free")
+    """Evidence by the last digit: 1 a store, 2 a count, 3 a getter, 4 to 6 each of them and all after it."""
+    d = F.col("p_partkey") % 10
+    type_ = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("*"), "p_type")).when(F.col("p_partkey") % 3 == 1, F.col("p_type")).otherwise("?*u8")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("field_id"), type_.alias("zig_type"), d.alias("d"))
+    value = F.when(F.col("d").isin(1, 4), "Data.Store.append(x)").when(F.col("d").isin(3, 6), "x.bunVM()").otherwise("alloc.create(T)")
+    given = part.select("field_id", value.alias("value")).unionByName(part.where("d in (4, 5)").select("field_id", F.lit("vm()").alias("value")))
+    called = part.select("field_id", F.when(F.col("d").isin(2, 4, 5), "deref").otherwise("push").alias("method"))
+    return ownership.classify_with_evidence(part, given, called).select("field_id", "class", "can_double_free")
 
 
 @query(
@@ -362,26 +447,87 @@ def l5_top_apis(spark, sf_dir):
     return relational.top_share(table(spark, sf_dir, "lineitem"), "l_partkey", 12)
 
 
-@query("""SELECT * FROM (VALUES ('r1', 'm2', 2, 2::BIGINT, false), ('r2', NULL, 5, 2, true), ('r3', NULL, NULL, 0, false)) AS t(requirement_digest, manifest_digest, revision, candidates, ambiguous)""")
-def j22_a19_resolve(spark, sf_dir):
+_PACKS = """m AS (SELECT concat('m', s_suppkey) AS digest, concat('n', s_nationkey) AS name, CASE WHEN s_nationkey % 2 = 0 THEN 'cargo' END AS eco, concat(s_suppkey % 2, '.0') AS version, s_suppkey // 7 % 4 AS revision,
+ CASE WHEN s_suppkey % 3 = 0 THEN ['effects'] WHEN s_suppkey % 3 = 1 THEN ['effects', 'forms'] ELSE ['forms', 'macros'] END AS provides FROM supplier),
+r AS (SELECT concat('r', n_nationkey, v) AS digest, concat('n', n_nationkey) AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'cargo' END AS eco, concat(v, '.0') AS version, CASE WHEN n_nationkey % 3 = 0 THEN ['forms'] ELSE ['effects'] END AS asks FROM nation, (VALUES (0), (1), (2)) AS t(v))"""
+
+
+def _packs(spark, sf_dir):
     null = F.lit(None).cast("string")
-    pad = lambda df: df.withColumn("source_sha256", null).withColumn("compiler", null)
-    return packs.resolve(pad(spark.sql(inline.REQUIREMENTS)), pad(spark.sql(inline.MANIFESTS)))
+    pad = lambda df: df.withColumns({"language": F.lit("rust"), "subject": F.lit("std"), "source_sha256": null, "compiler": null})
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    eco = lambda c: F.when(F.col(c) % 2 == 0, "cargo")
+    words = lambda *x: F.array(*map(F.lit, x))
+    key = F.col("s_suppkey")
+    provides = F.when(key % 3 == 0, words("effects")).when(key % 3 == 1, words("effects", "forms")).otherwise(words("forms", "macros"))
+    manifests = table(spark, sf_dir, "supplier").select(
+        text("m", key).alias("manifest_digest"), text("n", F.col("s_nationkey")).alias("name"), eco("s_nationkey").alias("ecosystem"),
+        text(key % 2, ".0").alias("version"), (F.floor(key / 7) % 4).alias("revision"), provides.alias("provides"),
+    )
+    nation = table(spark, sf_dir, "nation").withColumn("v", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
+    requirements = nation.select(
+        text("r", F.col("n_nationkey"), F.col("v")).alias("requirement_digest"), text("n", F.col("n_nationkey")).alias("name"), eco("n_nationkey").alias("ecosystem"),
+        text(F.col("v"), ".0").alias("version"), F.when(F.col("n_nationkey") % 3 == 0, words("forms")).otherwise(words("effects")).alias("capabilities"),
+    )
+    return pad(requirements), pad(manifests)
+
+
+@query(
+    f"""WITH {_PACKS}, x AS (SELECT r.digest AS q, m.digest AS d, revision FROM r JOIN m ON r.name = m.name AND r.eco IS NOT DISTINCT FROM m.eco AND r.version = m.version AND list_has_all(provides, asks)),
+b AS (SELECT q, max(revision) AS revision, count(*) AS candidates FROM x GROUP BY 1), t AS (SELECT q, revision, candidates, count(*) AS n, min(d) AS d FROM x JOIN b USING (q, revision) GROUP BY 1, 2, 3)
+SELECT r.digest AS requirement_digest, CASE WHEN n = 1 THEN d END AS manifest_digest, revision, coalesce(candidates, 0) AS candidates, coalesce(n > 1, false) AS ambiguous FROM r LEFT JOIN t ON q = r.digest"""
+)
+def j22_a19_resolve(spark, sf_dir):
+    return packs.resolve(*_packs(spark, sf_dir))
+
+
+_LOCKS = """l AS (SELECT concat('r', s_nationkey % 20, s_suppkey % 4) AS r, concat('m', s_suppkey) AS d FROM supplier WHERE s_suppkey % 5 < 2 AND s_nationkey <> 3),
+c AS (SELECT r, max(d) AS c FROM l WHERE r NOT LIKE '%1' GROUP BY 1)"""
 
 
-@query(f"WITH n AS (SELECT requirement_digest AS r, count(*) AS a FROM ({duck(inline.REQUIREMENTS)}) GROUP BY 1), h AS (SELECT requirement_digest AS r, count(*) AS b FROM ({inline.LOCK}) GROUP BY 1) SELECT r AS requirement_digest, CASE WHEN a IS NULL THEN 'extra' WHEN b IS NULL THEN 'missing' WHEN b > 1 THEN 'ambiguous' ELSE 'ok' END AS state FROM n FULL JOIN h USING (r)")
+def _lock(spark, sf_dir):
+    some = table(spark, sf_dir, "supplier").where("s_suppkey % 5 < 2 and s_nationkey <> 3")
+    return some.select(F.concat(F.lit("r"), (F.col("s_nationkey") % 20).cast("string"), (F.col("s_suppkey") % 4).cast("string")).alias("requirement_digest"), F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("manifest_digest"))
+
+
+@query(
+    f"""WITH {_PACKS}, {_LOCKS}, h AS (SELECT r AS q, count(*) AS b FROM l GROUP BY 1)
+SELECT coalesce(r.digest, q) AS requirement_digest, CASE WHEN r.digest IS NULL THEN 'extra' WHEN b IS NULL THEN 'missing' WHEN b > 1 THEN 'ambiguous' ELSE 'ok' END AS state FROM r FULL JOIN h ON r.digest = q"""
+)
 def j24_lock_state(spark, sf_dir):
-    return packs.lock_state(spark.sql(inline.REQUIREMENTS), spark.sql(inline.LOCK))
+    return packs.lock_state(_packs(spark, sf_dir)[0], _lock(spark, sf_dir))
 
 
-@query(f"SELECT l.requirement_digest, l.manifest_digest, c.manifest_digest AS cached_digest FROM ({inline.LOCK}) AS l LEFT JOIN ({inline.CACHE}) AS c USING (requirement_digest) WHERE l.manifest_digest IS DISTINCT FROM c.manifest_digest")
+@query(f"WITH {_LOCKS} SELECT l.r AS requirement_digest, l.d AS manifest_digest, c.c AS cached_digest FROM l LEFT JOIN c USING (r) WHERE l.d IS DISTINCT FROM c.c")
 def j25_lock_drift(spark, sf_dir):
-    return packs.lock_drift(spark.sql(inline.LOCK), spark.sql(inline.CACHE))
+    entries = _lock(spark, sf_dir)
+    cache = entries.where("requirement_digest not like '%1'").groupBy("requirement_digest").agg(F.max("manifest_digest").alias("manifest_digest"))
+    return packs.lock_drift(entries, cache)
 
 
-@query("SELECT l_suppkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) = 1")
+@query(f"WITH {_LOCKS}, n AS (SELECT DISTINCT r, concat('new', r) AS d FROM l WHERE r LIKE '%2') SELECT r AS requirement_digest, d AS manifest_digest FROM l WHERE r NOT IN (SELECT r FROM n) UNION ALL SELECT * FROM n")
+def k5_lock_insert(spark, sf_dir):
+    entries = _lock(spark, sf_dir)
+    newer = entries.where("requirement_digest like '%2'").select("requirement_digest", F.concat(F.lit("new"), "requirement_digest").alias("manifest_digest")).distinct()
+    return packs.lock_insert(entries, newer)
+
+
+@query(
+    """WITH m AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey AS place, l_quantity::BIGINT AS tokens, l_linenumber % 3 AS changed FROM lineitem),
+u AS (SELECT *, CASE WHEN place % 100 + tokens <= 100 THEN place // 100 * 100 ELSE place END AS ul, CASE WHEN place % 100 + tokens <= 100 THEN place // 100 * 100 + 100 ELSE place + tokens END AS uh FROM m),
+b AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, ul, uh ORDER BY tokens DESC, changed, place, place) AS r FROM u)
+SELECT l_suppkey, ul AS unit_start, max(tokens) AS tokens, min(changed) AS changed, count(*) AS n FROM b WHERE r = 1 GROUP BY l_suppkey, ul, uh"""
+)
 def a4_best_per_key(spark, sf_dir):
-    return reports.first_by_order(table(spark, sf_dir, "lineitem"), ["l_suppkey"], [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")]).select("l_suppkey", "l_orderkey", "l_linenumber")
+    """Line items as clones of a file (the supplier) with itself, units of 100 bytes."""
+    size = F.col("l_quantity").cast("long")
+    side = lambda s: [F.col("l_suppkey").alias(f"{s}_file"), F.col("l_partkey").alias(f"{s}_start"), F.col("l_partkey").alias(f"{s}_from"), (F.col("l_partkey") + size).alias(f"{s}_to")]
+    li = table(spark, sf_dir, "lineitem")
+    found = li.select(*side("left"), *side("right"), size.alias("tokens"), (F.col("l_linenumber") % 3).alias("changed")).dropDuplicates(["left_file", "left_start", "tokens", "changed"])
+    found = found.withColumn("_one", F.row_number().over(Window.partitionBy("left_file", "left_start", "tokens").orderBy("changed"))).where("_one = 1").drop("_one")
+    units = li.select(F.col("l_suppkey").alias("file_id"), (F.floor(F.col("l_partkey") / 100) * 100).alias("start_byte")).distinct().withColumn("end_byte", F.col("start_byte") + 100)
+    best = clones.best_per_unit(found, units)
+    return best.select(F.col("left_file").alias("l_suppkey"), F.col("left_unit.from").alias("unit_start"), "tokens", "changed", F.lit(1).cast("long").alias("n"))
 
 
 @query(
@@ -394,11 +540,10 @@ def w6_innermost_ranges(spark, sf_dir):
 
 
 @query(
-    """WITH f AS (SELECT user_id, event_type, dense_rank() OVER (PARTITION BY user_id ORDER BY m) AS ordinal FROM (SELECT user_id, event_type, min(event_id) AS m FROM events GROUP BY 1, 2)) SELECT user_id, event_type, ordinal::INTEGER AS ordinal FROM f"""
+    """WITH f AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY m) AS ordinal FROM (SELECT user_id, event_type, min(event_id) AS m FROM events GROUP BY 1, 2)) SELECT user_id, event_type, ordinal::INTEGER AS ordinal FROM f"""
 )
 def w4_first_appearance(spark, sf_dir):
-    m = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("m"))
-    return m.select("user_id", "event_type", F.dense_rank().over(Window.partitionBy("user_id").orderBy("m")).alias("ordinal"))
+    return relational.first_appearance(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
 
 
 @query(
@@ -412,10 +557,19 @@ def replace_by_path(spark, sf_dir):
     return out.groupBy(F.col("file_id").alias("doc_id")).agg(F.count("*").alias("n_tokens"), F.min("lexeme").alias("lowest"))
 
 
-@query("SELECT * FROM (VALUES (1, true, false, true, true), (2, false, true, false, false)) AS t(id, slug, digest, path, sorted)")
+@query(
+    r"""WITH x AS (SELECT page_id, split_part(url, '/', 3) AS slug, concat(CASE page_id % 3 WHEN 0 THEN 'sha256:' ELSE '' END, left(sha256(url), CASE WHEN page_id % 5 = 0 THEN 63 ELSE 64 END)) AS digest,
+ concat(CASE page_id % 4 WHEN 0 THEN '/' WHEN 1 THEN '../' ELSE '' END, array_to_string(string_split(url, '/')[3:], '/')) AS path, regexp_split_to_array(url, '[^a-z]+') AS words FROM pages)
+SELECT page_id, regexp_full_match(slug, '[a-z0-9]+([.-][a-z0-9]+)*') AS slug, regexp_full_match(digest, '(sha256:)?[0-9a-f]{64}') AS digest,
+ path <> '' AND NOT starts_with(path, '/') AND NOT contains(path, chr(92)) AND len(list_filter(string_split(path, '/'), lambda p: p IN ('', '.', '..'))) = 0 AS path, words = list_sort(list_distinct(words)) AS sorted FROM x"""
+)
 def p24_validators(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM (VALUES (1, 'rust-std', 'zz', 'a/b.json', array('a', 'b')), (2, 'Bad_Slug', repeat('ab', 32), '../x', array('b', 'a'))) AS t(id, s, d, p, a)")
-    return rows.select("id", packs.is_slug(F.col("s")).alias("slug"), packs.is_sha256(F.col("d")).alias("digest"), packs.is_safe_path(F.col("p")).alias("path"), packs.is_sorted_unique(F.col("a")).alias("sorted"))
+    url = F.col("url")
+    parts = F.split(url, "/")
+    digest = F.concat(F.when(F.col("page_id") % 3 == 0, "sha256:").otherwise(""), F.substring(F.sha2("url", 256), F.lit(1), F.when(F.col("page_id") % 5 == 0, 63).otherwise(64)))
+    path = F.concat(F.when(F.col("page_id") % 4 == 0, "/").when(F.col("page_id") % 4 == 1, "../").otherwise(""), F.array_join(F.slice(parts, 3, 1000), "/"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.try_element_at(parts, F.lit(3)).alias("s"), digest.alias("d"), path.alias("p"), F.split(url, "[^a-z]+").alias("a"))
+    return pages.select("page_id", packs.is_slug(F.col("s")).alias("slug"), packs.is_sha256(F.col("d")).alias("digest"), packs.is_safe_path(F.col("p")).alias("path"), packs.is_sorted_unique(F.col("a")).alias("sorted"))
 
 
 def _part_forms(spark, sf_dir, leaf: str = "num") -> DataFrame:
@@ -446,17 +600,55 @@ def t3_matches(spark, sf_dir):
     return behaviors.match(library, functions).join(library.select("library_id", "p_type"), "library_id").select("function_id", "p_type", "mode")
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 5::BIGINT, 3, 1::BIGINT, 2::BIGINT), (2, 7, 2, 2, 0), (3, 6, 3, 1, 0)) AS t(form_id, size, depth, anchors, holes)")
+@query(
+    """SELECT p_partkey AS form_id, CASE p_partkey % 4 WHEN 0 THEN 5 WHEN 1 THEN 9 WHEN 2 THEN p_size % 7 + 2 ELSE 7 END::BIGINT AS size, CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN p_size % 7 + 2 ELSE 5 END::INTEGER AS depth,
+ CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN p_size % 7 + 1 ELSE 3 END::BIGINT AS anchors, CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 3 THEN 1 ELSE 0 END::BIGINT AS holes,
+ p_partkey % 4 = 3 OR (p_partkey % 4 = 1 AND p_size % 2 = 0) AS reportable FROM part"""
+)
 def a6_form_metrics(spark, sf_dir):
-    rows = [
-        (1, '["traverse",null,[["free",0,[],[]],["method","push",[["free",1,[],[]],["local",0,[],[]]],[]]],[["bind",0,[]]]]'),
-        (2, '["select",null,[["local",0,[],[]],["local",1,[],[]],["do",null,[],[]]],[["variant","A",[["bind",1,[]]]],["variant","B",[]]]]'),
-        (3, '["do",null,[["lit",null,[],[]],["collect","list",[["local",0,[],[]]],[]],["return",null,[["local",1,[],[]]],[]]],[]]'),
-    ]
-    return behaviors.metrics(behaviors.node_table(spark.createDataFrame(rows, "form_id long, form string"))).select("form_id", "size", "depth", "anchors", "holes")
+    """Terms of parts: a walk of two holes, a choice of two arms (of one name where the
+    size is odd), a chain of calls as long as the size says, a filtered collection."""
+    key, size = F.col("p_partkey") % 4, F.col("p_size")
+    local = lambda n: f'["local",{n},[],[]]'
+    method = lambda inner: F.concat(F.lit('["method","'), F.col("p_brand"), F.lit('",['), inner if not isinstance(inner, str) else F.lit(inner), F.lit("],[]]"))
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    walk = text('["traverse",null,[["free",0,[],[]],', method('["free",1,[],[]],' + local(0)), '],[["bind",0,[]]]]')
+    choice = text('["select",null,[', local(0), ",", method(local(1)), ",", method(local(1)), '],[["variant","A",[["bind",1,[]]]],["variant","', F.when(size % 2 == 0, "B").otherwise("A"), '",[]]]]')
+    chain = text(F.repeat(F.lit('["method","next",['), (size % 7 + 1).cast("int")), local(0), F.repeat(F.lit("],[]]"), (size % 7 + 1).cast("int")))
+    some = text('["collect","list",[["retain",null,[["free",0,[],[]],', method('["field","ok",[' + local(0) + "],[]]," + local(0)), '],[["bind",0,[]]]]],[]]')
+    forms = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("form_id"), F.when(key == 0, walk).when(key == 1, choice).when(key == 2, chain).otherwise(some).alias("form"))
+    return behaviors.metrics(behaviors.node_table(forms)).select("form_id", "size", "depth", "anchors", "holes", "reportable")
+
+
+_FOLDS = ["fold", "try_fold", "try_for_each", "for_each"]
+
+
+@query(
+    f"""WITH f AS (SELECT p_partkey AS form_id, p_brand AS b, {_FOLDS}[p_partkey % 4 + 1] AS m, p_size % 3 = 0 AS carries, p_size % 2 = 0 AS two FROM part)
+SELECT form_id, CASE WHEN m <> 'for_each' AND NOT carries THEN concat('(traverse f0 v0 (method ', b, ' v0))') ELSE
+ concat('(method ', m, ' f0 ', CASE WHEN carries THEN '(num 7)' ELSE '(do)' END, ' (lambda (', CASE WHEN two THEN 'v0 v1' ELSE 'v0' END, ') (method ', b, CASE WHEN two THEN ' v1' ELSE ' v0' END, ')))') END AS form FROM f"""
+)
+def t2_traversals(spark, sf_dir):
+    """Folds from a unit, with or without what is carried, are walks; others stay."""
+    carries, two = F.col("p_size") % 3 == 0, F.col("p_size") % 2 == 0
+    text = F.concat(
+        F.lit('["method","'), F.element_at(F.array(*map(F.lit, _FOLDS)), (F.col("p_partkey") % 4 + 1).cast("int")), F.lit('",[["free",4,[],[]],'),
+        F.when(carries, '["num","7",[],[]]').otherwise('["do",null,[],[]]'), F.lit(',["lambda",null,[["method","'), F.col("p_brand"), F.lit('",[["local",6,[],[]]],[]]],['),
+        F.when(two, '["bind",5,[]],').otherwise(""), F.lit('["bind",6,[]]]]],[]]'),
+    )
+    forms = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("form_id"), text.alias("form"))
+    return forms.select("form_id", behaviors.canonical_text(behaviors.simplified("form")).alias("form"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 3::BIGINT, 2), (2, 3, 1), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 0)) AS t(start, callable_id, hops)")
+@query(
+    """WITH RECURSIVE c AS (SELECT c_custkey AS id, concat('c', c_custkey - (c_custkey % 13 = 0)::INTEGER) AS name, CASE WHEN c_custkey % 7 <> 0 THEN concat('c', c_custkey + 1) END AS goes FROM customer),
+u AS (SELECT name, min(id) AS id FROM c GROUP BY 1 HAVING count(*) = 1), s AS (SELECT c.id, u.id AS next FROM c JOIN u ON goes = u.name),
+w(start, here, hops) AS (SELECT id, id, 0 FROM c UNION ALL SELECT start, next, hops + 1 FROM w JOIN s ON s.id = w.here WHERE hops < 4)
+SELECT start, arg_max(here, hops) AS callable_id, max(hops)::INTEGER AS hops FROM w GROUP BY start"""
+)
 def r7_delegations(spark, sf_dir):
-    c = spark.sql("SELECT * FROM (VALUES (1L, 'a', 'fa', 'b'), (2L, 'b', 'fb', 'c'), (3L, 'c', 'fc', NULL), (4L, 'd', 'fd', 'twin'), (5L, 'twin', 'f', NULL), (6L, 'twin', 'f', NULL)) AS t(callable_id, name, form, delegates_to)")
+    """Customers as callables that delegate to the next one, but for each seventh; each thirteenth has a name of two."""
+    key = F.col("c_custkey")
+    name = lambda x: F.concat(F.lit("c"), x.cast("string"))
+    c = table(spark, sf_dir, "customer").select(key.alias("callable_id"), name(F.when(key % 13 == 0, key - 1).otherwise(key)).alias("name"), F.lit("f").alias("form"), F.when(key % 7 != 0, name(key + 1)).alias("delegates_to"))
     return behaviors.delegations(c).select("start", "callable_id", "hops")

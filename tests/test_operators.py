@@ -462,3 +462,26 @@ def test_reports_in_words(spark):
     assert "| 2 | 2 | 7 | `(do x)` |" in text and "| 2 | 2 | `(do x)` |" in text
     nodes = behaviors.node_table(spark.createDataFrame([(1, T.dumps(T.Form("opaque", "goto", (T.Form("lit"),))))], "form_id long, form string"))
     assert rows(behaviors.opacity(nodes)) == [("goto", 1, 50.0)]
+
+
+def test_macros_name_a_case_only_where_it_is_decided(spark):
+    v = spark.createDataFrame([("One", 0, "A"), ("One", 1, "B"), ("Two", 0, "DarkRed"), ("Gap", 0, "A"), ("Gap", 1, "B")], "type string, pos int, variant string")
+    arms = spark.createDataFrame([("One", "A", "a"), ("One", "B", "b"), ("Two", "DarkRed", "dark_red"), ("Gap", "A", "a")], "type string, variant string, value string")
+    none = spark.createDataFrame([], "type string, pos int, element string")
+    shown = spark.createDataFrame([("One",), ("Gap",)], "type string")
+    wants = lambda x: spark.createDataFrame(x, "type string, case string")
+    got = lambda w: rows(macros.matches(v, arms, shown, none, wants(w)))
+    display = [("One", "Display", "kebab-case"), ("One", "Display", "snake_case")]
+    assert got([]) == sorted([*display, ("Two", "AsRefStr", "snake_case")])
+    assert got([("One", "snake_case"), ("Two", "kebab-case")]) == sorted([*display, ("One", "AsRefStr", "snake_case")])
+
+
+def test_best_clone_of_each_pair_of_units(spark):
+    text = [f"w{i}" for i in range(40)]
+    token = lambda f, i, w: (f, f"p{f}", "d", i, "word", w, "other", i * 10, i * 10 + 9, i, i)
+    left = text[:12] + ["x"] + text[12:30]
+    tokens = spark.createDataFrame([token(1, i, w) for i, w in enumerate(text)] + [token(2, i, w) for i, w in enumerate(left)], "file_id long, path string, domain string, ordinal int, kind string, lexeme string, class string, start_byte long, end_byte long, start_line int, end_line int")
+    every = clones.clones(tokens, k=6, min_lines=2)
+    assert sorted(r["tokens"] for r in every.collect()) == [12, 18]
+    units = spark.createDataFrame([(1, 0, 1000), (2, 0, 1000)], "file_id long, start_byte long, end_byte long")
+    assert [r["tokens"] for r in clones.clones(tokens, k=6, min_lines=2, units=units).collect()] == [18]

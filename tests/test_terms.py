@@ -271,3 +271,39 @@ def test_one_step_of_an_iterator_is_lifted():
     assert str(lift_step(found(local(1)))) == "(retain f0 v1 (method ok v1))"
     assert lift_step(found(Form("method", "get", (local(1),)))).tag == "sift"
     assert lift_step(found(local(1), "back")) is None and lift_step(Form("lit")) is None
+
+
+def test_work_is_going_through_a_sequence_and_decisions_have_two_names():
+    from gleanery.functions.forms import describes_decision, describes_work
+
+    chain = Form("local", 0)
+    for n in ("a", "b", "c", "d", "e"):
+        chain = Form("method", n, (chain,))
+    assert metrics(chain)["anchors"] == 5 and not describes_work(chain) and not is_reportable(chain)
+    arm = lambda name: Pattern("variant", name)
+    body = Form("method", "go", (Form("local", 0),))
+    two = Form("select", None, (Form("local", 0), body, body), (arm("A"), arm("B")))
+    same = Form("select", None, (Form("local", 0), body, body), (arm("A"), arm("A")))
+    assert describes_decision(two) and is_reportable(two) and not describes_decision(same) and not is_reportable(same)
+    assert [r[-1] for r in node_rows(two)][0] and not [r[-1] for r in node_rows(same)][0]
+
+
+def test_folds_from_a_unit_are_walks():
+    from gleanery.functions.rewrite import traversal
+
+    item, acc, body = Pattern("bind", 1), Pattern("bind", 0), Form("method", "go", (Form("local", 1),))
+    for name in ("fold", "try_fold", "try_for_each"):
+        for pats in ((acc, item), (item,)):
+            got = traversal(Form("method", name, (Form("free", 0), UNIT, Form("lambda", None, (body,), pats))))
+            assert got == Form("traverse", None, (Form("free", 0), body), (item,))
+        assert traversal(Form("method", name, (Form("free", 0), Form("num", "1"), Form("lambda", None, (body,), (item,))))) is None
+    assert traversal(Form("method", "for_each", (Form("free", 0), Form("lambda", None, (body,), (item,))))) is None
+
+
+def test_lambdas_that_name_each_other_stay():
+    from gleanery.functions.rewrite import unfold
+
+    call = lambda n: Form("call", None, (Form("local", n), Form("local", 9)))
+    let = lambda n, m: Form("let", None, (Form("lambda", None, (call(m),), (Pattern("bind", 8),)),), (Pattern("bind", n),))
+    form, fuel = Form("do", None, (let(1, 2), let(2, 1), call(1))), [16]
+    assert unfold(form, fuel) == form and fuel == [16]
