@@ -32,6 +32,16 @@ def simple_type_name(text: Column) -> Column:
     return F.coalesce(trailing_identifier(F.substring_index(text, "<", 1)), text)
 
 
+def leaf_name(path: Column) -> Column:
+    return F.substring_index(path, "::", -1)
+
+
+def container_name(path: Column) -> Column:
+    """The type or trait that qualifies a path: the name before its last, if upper-case."""
+    before = F.try_element_at(F.split(path, "::"), F.lit(-2))
+    return F.when(before.rlike("^[A-Z]"), before)
+
+
 def without_space(text: Column) -> Column:
     return F.regexp_replace(text, r"\s", "")
 

@@ -94,18 +94,48 @@ def unresolved_diagnostics(classified: DataFrame, callables: DataFrame, effectfu
 
 
 def classify_edges(edges: DataFrame, definitions: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Resolved edges (edge_id, from, to, span) with their bucket: by catalog or
-    allocation of the destination, by definition, else outside. An edge with several
+    """Resolved edges (edge_id, from, to, span) with their bucket: by catalog, by
+    definition, by allocation of the destination, else outside. An edge with several
     targets is counted once, by its first."""
     to = edges.select("edge_id", "from", "span", F.posexplode("to").alias("pos", "destination"))
     to = to.withColumn("path", N.without_turbofish("destination"))
     to = to.withColumn("allocates", rules.allocating_destination(F.col("destination"), F.col("path"), N.without_generics("destination"), N.qualified_self("path")))
     known = definitions.select(F.col("id").alias("destination"), F.lit(True).alias("defined"))
     to = to.join(catalog, "path", "left").join(known, "destination", "left")
-    bucket = F.when(F.col("effects").isNotNull() | F.col("allocates").isNotNull(), "known_effect_origins").when(F.col("defined"), "linked_internal").otherwise("outside_selected_corpus")
+    bucket = F.when(F.col("effects").isNotNull(), "known_effect_origins").when(F.col("defined"), "linked_internal").when(F.col("allocates").isNotNull(), "known_effect_origins").otherwise("outside_selected_corpus")
     return to.withColumn("bucket", bucket).withColumn("counted", F.col("pos") == 0)
 
 
+def observed_diagnostics(edges: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(edge_id, from, span, bucket, message) of edges that no call can be made of:
+    their caller was not observed, or they resolve to nothing."""
+    known = definitions.select(F.col("id").alias("from"), F.lit(True).alias("_d")).distinct()
+    lost = F.col("_d").isNull()
+    message = F.when(lost, F.format_string("call from unobserved definition %s", F.col("from"))).otherwise(F.format_string("call in %s was resolved to no destination", F.col("from")))
+    out = edges.join(known, "from", "left").where(lost | (F.coalesce(F.size("to"), F.lit(0)) <= 0))
+    return out.select("edge_id", "from", "span", F.when(lost, "unknown").otherwise("dynamic_or_ambiguous").alias("bucket"), message.alias("message"))
+
+
+def observed_accounting(edges: DataFrame, definitions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """total and the count of each bucket over resolved edges, each in one: the first
+    of its targets that is known decides, else it is outside."""
+    bad = observed_diagnostics(edges, definitions).select("edge_id", "bucket")
+    good = classify_edges(edges.join(bad, "edge_id", "left_anti"), definitions, catalog)
+    first = good.groupBy("edge_id").agg(F.coalesce(F.min_by("bucket", F.when(F.col("bucket") != "outside_selected_corpus", F.col("pos"))), F.lit("outside_selected_corpus")).alias("bucket"))
+    return accounting(first.unionByName(bad), F.col("bucket"), BUCKETS)
+
+
+def with_inputs(traced: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(trace_id, inputs) of (trace_id, paths): the evidence, ordered and without
+    repeats, of every file that a trace's callable and calls lie in; paths without
+    evidence add nothing. evidence: path (unique) and further columns."""
+    own = evidence.select("path", F.struct(*evidence.columns).alias("_e"))
+    found = traced.select("trace_id", F.explode(F.array_distinct("paths")).alias("path")).join(own, "path")
+    inputs = found.groupBy("trace_id").agg(F.array_sort(F.collect_set("_e")).alias("inputs"))
+    out = traced.select("trace_id").distinct().join(inputs, "trace_id", "left")
+    return out.withColumn("inputs", F.coalesce("inputs", F.array().cast(inputs.schema["inputs"].dataType)))
+
+
 def missing_ends(edges: DataFrame, definitions: DataFrame) -> DataFrame:
     """Callers of edges that no definition has."""
     return edges.join(definitions.select(F.col("id").alias("from")), "from", "left_anti").select(F.col("from").alias("missing_caller"), "span").distinct()

@@ -22,6 +22,17 @@ def containment(declared: Column, fallible: list[str], optional: list[str], unch
     return F.when(declared.isNull(), other).when(named(fallible), "fallible").when(named(optional), "optional").otherwise(other)
 
 
+def with_containment(callables: DataFrame, returns: DataFrame, fallible: list[str], optional: list[str], unchecked: bool = False) -> DataFrame:
+    """callables (file_id, start, end, callable_id) with their containment, by the return
+    type found at the same region. Of callables at one region the smallest id stays, of
+    return types (file_id, start, end, at, declared) the last, of equal ones the greatest."""
+    region = ["file_id", "start", "end"]
+    one = callables.groupBy(*region).agg(F.min("callable_id").alias("callable_id"))
+    last = returns.groupBy(*region).agg(F.max(F.struct("at", "declared"))["declared"].alias("declared"))
+    out = one.join(last, region, "left")
+    return out.select(*region, "callable_id", containment(F.col("declared"), fallible, optional, unchecked).alias("containment"))
+
+
 def certainty(form: Column, ambiguous: list[str]) -> Column:
     return F.when(form.isin(ambiguous), "possible").otherwise("certain")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,17 @@ def bare_digest(x: Column) -> Column:
     return F.regexp_replace(x, "^sha256:", "")
 
 
+def analyzer_digest(tag: str, inputs: Iterable[tuple[str, bytes]]) -> str:
+    """The digest of an analyzer's own source: a domain tag, then each path and its
+    bytes in the given order, both after their length, so that no two lists of inputs
+    read alike."""
+    out = hashlib.sha256(tag.encode() + b"\0")
+    for path, data in inputs:
+        for part in (path.encode(), data):
+            out.update(len(part).to_bytes(8, "big") + part)
+    return f"sha256:{out.hexdigest()}"
+
+
 def compatible(a: DataFrame, b: DataFrame) -> Column:
     """Every field that must agree does; null agrees with null."""
     out = F.lit(True)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import effect_rules, names, spans
-from ..operators import behaviors, clones, effects, errors, graph, macros, ownership, packs, relational, reports
+from ..operators import behaviors, clones, derivation, effects, errors, graph, macros, ownership, packs, relational, reports
 from ..operators.lineage import cut
 from . import inline
 
@@ -652,3 +652,135 @@ def r7_delegations(spark, sf_dir):
     name = lambda x: F.concat(F.lit("c"), x.cast("string"))
     c = table(spark, sf_dir, "customer").select(key.alias("callable_id"), name(F.when(key % 13 == 0, key - 1).otherwise(key)).alias("name"), F.lit("f").alias("form"), F.when(key % 7 != 0, name(key + 1)).alias("delegates_to"))
     return behaviors.delegations(c).select("start", "callable_id", "hops")
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey, arg_max(l_returnflag, l_linenumber * 256 + ascii(l_returnflag)) AS t FROM lineitem WHERE l_linenumber >= 3 GROUP BY 1)
+SELECT min(o_orderkey) AS callable_id, CASE t WHEN 'R' THEN 'fallible' WHEN 'A' THEN 'optional' ELSE 'infallible' END AS containment FROM orders LEFT JOIN r ON l_orderkey = o_orderkey GROUP BY o_orderkey, t"""
+)
+def j8_containment(spark, sf_dir):
+    """Orders as callables whose return types are line items from the third on."""
+    region = lambda key: [(F.col(key) % 100).alias("file_id"), F.col(key).alias("start"), (F.col(key) + 10).alias("end")]
+    callables = table(spark, sf_dir, "orders").select(*region("o_orderkey"), F.col("o_orderkey").alias("callable_id"))
+    returns = table(spark, sf_dir, "lineitem").where("l_linenumber >= 3").select(*region("l_orderkey"), F.col("l_linenumber").alias("at"), F.concat("l_returnflag", F.lit("<T>")).alias("declared"))
+    return errors.with_containment(callables, returns, ["R"], ["A"]).select("callable_id", "containment")
+
+
+@query(
+    """WITH e AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_suppkey % 10 <> 0 AS seen, l_linenumber = 1 AS none, l_partkey % 4 = 0 AS external, (l_partkey % 50 + 1) % 10 <> 0 AND l_partkey % 50 + 1 <= (SELECT max(s_suppkey) FROM supplier) AS internal FROM lineitem)
+SELECT count(*) AS total, count(*) FILTER (seen AND NOT none AND internal) AS linked_internal, count(*) FILTER (seen AND NOT none AND NOT internal AND external) AS known_effect_origins,
+ 0::BIGINT AS constructors, count(*) FILTER (seen AND NOT none AND NOT internal AND NOT external) AS outside_selected_corpus, count(*) FILTER (seen AND none) AS dynamic_or_ambiguous, count(*) FILTER (NOT seen) AS unknown
+FROM (SELECT DISTINCT * FROM e)"""
+)
+def j13_observed(spark, sf_dir):
+    """Line items as resolved edges between suppliers, of which each tenth was not
+    observed; some lead to a catalogued path as well, the first of an order nowhere."""
+    li = table(spark, sf_dir, "lineitem")
+    node = lambda x: F.concat(F.lit("s"), x.cast("string"))
+    to = F.when(F.col("l_linenumber") == 1, F.array().cast("array<string>")).otherwise(F.array(node(F.col("l_partkey") % 50 + 1), F.when(F.col("l_partkey") % 4 == 0, "std::fs::read").otherwise("other::thing")))
+    key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    edges = li.select(key.alias("edge_id"), node(F.col("l_suppkey")).alias("from"), F.lit("s").alias("span"), to.alias("to")).distinct()
+    definitions = table(spark, sf_dir, "supplier").where("s_suppkey % 10 <> 0").select(node(F.col("s_suppkey")).alias("id"))
+    return effects.observed_accounting(edges, definitions, effects.merged_catalog(spark.sql(inline.CATALOG)))
+
+
+@query(
+    """WITH c AS (SELECT p_brand, p_size % 3 AS version, p_type, min(p_partkey) AS catalog_id FROM part WHERE p_partkey % 4 = 0 GROUP BY 1, 2, 3)
+SELECT p_partkey, catalog_id FROM part JOIN c ON part.p_brand = c.p_brand AND part.p_size % 3 = c.version AND part.p_type = c.p_type"""
+)
+def j15_catalogs(spark, sf_dir):
+    """Parts as behaviours, each fourth one a catalog."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("package"), (F.col("p_size") % 3).cast("string").alias("version"), F.sha2("p_type", 256).alias("source_sha256"))
+    catalogs = part.where("p_partkey % 4 = 0").withColumnRenamed("p_partkey", "catalog_id")
+    return derivation.with_catalog(part, catalogs).select("p_partkey", "catalog_id")
+
+
+@query(
+    """WITH b AS (SELECT p_partkey, p_type, concat(p_brand, '::f', p_partkey % 7) AS path, concat('f', p_partkey % 7) AS leaf, concat('f', p_size % 7) AS step FROM part),
+s AS (SELECT DISTINCT p_type, path, step FROM b)
+SELECT p_partkey, count(s.path) AS n_delegating FROM b LEFT JOIN s ON s.p_type = b.p_type AND s.step = b.leaf AND s.path <> b.path GROUP BY p_partkey"""
+)
+def j18_delegated_to(spark, sf_dir):
+    """Parts as behaviours of their type's form, with a chain of themselves and one step."""
+    path = F.concat("p_brand", F.lit("::f"), (F.col("p_partkey") % 7).cast("string"))
+    step = F.concat(F.lit("f"), (F.col("p_size") % 7).cast("string"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("form"), path.alias("path"), F.array(path, step).alias("chain"))
+    return derivation.delegated_to(rows).select("p_partkey", "n_delegating")
+
+
+@query(
+    """WITH f AS (SELECT s_suppkey AS id, s_nationkey % 2 AS lib, s_suppkey % 20 AS name, CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey % 3 END AS box FROM supplier),
+r AS (SELECT c_custkey, c_nationkey % 2 AS lib, c_custkey % 20 AS name, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 3 END AS box, c_custkey % 60 + 1 AS gone FROM customer),
+j AS (SELECT r.c_custkey, f.id, f.box = r.box AS held FROM r LEFT JOIN f ON f.lib = r.lib AND f.name = r.name AND f.id <> r.gone)
+SELECT c_custkey, CASE WHEN count(*) FILTER (held) = 1 THEN min(id) FILTER (held) WHEN count(id) = 1 THEN min(id) END AS found FROM j GROUP BY c_custkey"""
+)
+def j20_resolve_within(spark, sf_dir):
+    """Suppliers as callables of two libraries, customers as references that leave one out."""
+    text = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    supplier, customer, key = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer"), F.col("c_custkey")
+    own = [text("l", F.col("s_nationkey") % 2).alias("library"), text("f", F.col("s_suppkey") % 20).alias("name"), F.when(F.col("s_suppkey") % 4 != 0, text("T", F.col("s_suppkey") % 3)).alias("container")]
+    callables = supplier.select(F.col("s_suppkey").alias("callable_id"), *own)
+    gone = callables.select(F.col("callable_id").alias("exclude"), F.col("name").alias("exclude_name"), F.col("container").alias("exclude_container"))
+    refs = customer.select("c_custkey", text("l", F.col("c_nationkey") % 2).alias("library"), text("f", key % 20).alias("name"), F.when(key % 5 != 0, text("T", key % 3)).alias("container"), (key % 60 + 1).alias("exclude"))
+    return derivation.resolve_within(refs.join(gone, "exclude", "left"), callables).select("c_custkey", "found")
+
+
+@query(
+    """WITH m AS (SELECT p_partkey AS id, p_brand AS type, p_size % 10 AS source, p_partkey % 6 AS n, p_partkey % 9 <> 0 AS body, p_size % 2 = 0 AS works, p_size AS size FROM part),
+d AS (SELECT p_brand AS type FROM part WHERE p_partkey % 40 = 0 GROUP BY 1 HAVING count(DISTINCT p_size) = 1),
+w AS (SELECT DISTINCT p_brand AS type, p_size % 13 AS source FROM part),
+c AS (SELECT w.type, w.source, m.id, m.n, m.body, m.works, m.size FROM w JOIN m ON m.type = w.type AND (m.source = w.source OR (w.type IN (SELECT type FROM d) AND NOT EXISTS (SELECT 1 FROM m AS x WHERE x.type = w.type AND x.source = w.source)))),
+k AS (SELECT type, source, id, row_number() OVER (PARTITION BY type, source ORDER BY n, works DESC, size DESC, id DESC) AS r FROM c WHERE body AND n < 4)
+SELECT w.type, w.source, k.id AS principal FROM w LEFT JOIN k ON k.type = w.type AND k.source = w.source AND r = 1"""
+)
+def j21_principal(spark, sf_dir):
+    """Parts as methods of their brand, in ten sources; asked for from thirteen."""
+    part, contract = table(spark, sf_dir, "part"), derivation.CONTRACT_METHODS["rust"]
+    lib = F.lit("l").alias("library")
+    name = F.element_at(F.array(*map(F.lit, [*contract, "size_hint", "fold"])), (F.col("p_partkey") % 6 + 1).cast("int"))
+    methods = part.select(lib, F.col("p_partkey").alias("callable_id"), name.alias("name"), F.col("p_brand").alias("container"), (F.col("p_size") % 10).alias("source"), (F.col("p_partkey") % 9 != 0).alias("has_form"), (F.col("p_size") % 2 == 0).alias("works"), F.col("p_size").alias("size"))
+    declared = part.where("p_partkey % 40 = 0").select(lib, F.col("p_brand").alias("type"), F.col("p_size").alias("source"))
+    wanted = part.select(lib, F.col("p_brand").alias("type"), (F.col("p_size") % 13).alias("source")).distinct()
+    return derivation.principal_methods(wanted, methods, declared, contract).select("type", "source", "principal")
+
+
+@query(
+    """WITH t AS (SELECT o_orderkey, unnest([concat('n', o_custkey % 30), concat('n', o_orderkey % 25), concat('n', o_custkey % 30)]) AS path FROM orders),
+e AS (SELECT concat('n', n_nationkey) AS path, n_name FROM nation)
+SELECT o_orderkey AS trace_id, coalesce(string_agg(DISTINCT concat(path, '=', n_name), ',' ORDER BY concat(path, '=', n_name)) FILTER (n_name IS NOT NULL), '') AS inputs FROM t LEFT JOIN e USING (path) GROUP BY 1"""
+)
+def j26_trace_inputs(spark, sf_dir):
+    """Orders as traces over three files, of which some have no evidence."""
+    file = lambda x: F.concat(F.lit("n"), x.cast("string"))
+    traced = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trace_id"), F.array(file(F.col("o_custkey") % 30), file(F.col("o_orderkey") % 25), file(F.col("o_custkey") % 30)).alias("paths"))
+    evidence = table(spark, sf_dir, "nation").select(file(F.col("n_nationkey")).alias("path"), F.col("n_name").alias("content"))
+    out = effects.with_inputs(traced, evidence)
+    return out.select("trace_id", F.array_join(F.array_sort(F.transform("inputs", lambda e: F.concat(e["path"], F.lit("="), e["content"]))), ",").alias("inputs"))
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS id, c_custkey % 4 AS k, c_custkey % 20 = 2 AS bare FROM customer),
+m AS (SELECT id FROM c WHERE k = 2 AND NOT bare)
+SELECT c.id AS start, CASE WHEN k = 0 AND b.id IS NOT NULL THEN CASE WHEN n.id IS NOT NULL THEN concat_ws(',', c.id, b.id, n.id) ELSE concat_ws(',', c.id, b.id) END WHEN k = 1 AND o.id IS NOT NULL THEN concat_ws(',', c.id, o.id) ELSE c.id::VARCHAR END AS chain,
+ CASE WHEN (k = 0 AND n.id IS NOT NULL) OR (k = 1 AND o.id IS NOT NULL) THEN '(retain f0 v0 (method ok v0))' WHEN k = 2 AND NOT bare THEN '(do (traverse f0 v0 (branch (method ok v0) (return (variant Some v0)))) (variant None))' END AS form,
+ CASE WHEN bare THEN 'no-body' WHEN (k = 0 AND n.id IS NULL) OR (k = 1 AND o.id IS NULL) OR k = 3 THEN 'not-comparable' END AS refusal
+FROM c LEFT JOIN c AS b ON c.k = 0 AND b.id = c.id + 1 LEFT JOIN m AS n ON c.k = 0 AND n.id = c.id + 2 LEFT JOIN m AS o ON c.k = 1 AND o.id = c.id + 1"""
+)
+def r7_derived(spark, sf_dir):
+    """Customers as callables of one library, in fours: a wrapper of the next, which
+    builds a type, whose `next` (without a body for each fifth) searches, and a chain of calls."""
+    key = F.col("c_custkey")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    kind = key % 4
+    search = '["do",null,[["traverse",null,[["free",0,[],[]],["branch",null,[["method","ok",[["local",1,[],[]]],[]],["return",null,[["variant","Some",[["local",1,[],[]]],[]]],[]]],[]]],[["bind",1,[]]]],["variant","None",[],[]]],[]]'
+    form = (
+        F.when(kind == 0, text('["call",null,[["path","lib::f', key + 1, '",[],[]]],[]]')).when(kind == 1, text('["construct","T', key, '",[],[]]'))
+        .when(kind == 3, F.lit('["method","a",[["method","b",[["local",0,[],[]]],[]]],[]]')).when(key % 20 != 2, F.lit(search))
+    )
+    callables = table(spark, sf_dir, "customer").select(
+        F.lit("l").alias("library"), key.cast("long").alias("callable_id"), F.when(kind == 2, "next").otherwise(text("f", key)).alias("name"),
+        F.when(kind == 2, text("T", key - 1)).alias("container"), text("s", kind).alias("source"), form.alias("form"),
+    )
+    declarations = callables.where("callable_id % 4 = 1").select("library", F.concat(F.lit("T"), F.col("callable_id").cast("string")).alias("type"), "source")
+    out = derivation.derive_library(callables, declarations)
+    return out.select("start", F.array_join(F.transform("chain", lambda x: x.cast("string")), ",").alias("chain"), behaviors.canonical_text("form").alias("form"), "refusal")

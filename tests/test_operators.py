@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import effect_rules, names, spans
 from gleanery.functions import forms as T
-from gleanery.operators import behaviors, clones, effects, errors, graph, macros, ownership, packs, relational, reports
+from gleanery.operators import behaviors, clones, derivation, effects, errors, graph, macros, ownership, packs, relational, reports
 from gleanery.sources import documents, pack_files, trees
 from gleanery.streaming.replace import TokenTable, follow
 
@@ -485,3 +485,202 @@ def test_best_clone_of_each_pair_of_units(spark):
     assert sorted(r["tokens"] for r in every.collect()) == [12, 18]
     units = spark.createDataFrame([(1, 0, 1000), (2, 0, 1000)], "file_id long, start_byte long, end_byte long")
     assert [r["tokens"] for r in clones.clones(tokens, k=6, min_lines=2, units=units).collect()] == [18]
+
+
+# --- behaviours of libraries
+
+
+def _methods(*names):
+    """A chain of calls on a local: plumbing, no work."""
+    form = T.Form("local", 0)
+    for n in names:
+        form = T.Form("method", n, (form,))
+    return form
+
+
+def _walk(name):
+    return T.Form("traverse", None, (T.Form("free", 0), T.Form("method", name, (T.Form("local", 1),))), (T.Pattern("bind", 1),))
+
+
+def _found(name):
+    """The body of one step of a lazy type that yields the items `name` accepts."""
+    some = T.Form("return", None, (T.Form("variant", "Some", (T.Form("local", 1),)),))
+    loop = T.Form("traverse", None, (T.Form("free", 0), T.Form("branch", None, (T.Form("method", name, (T.Form("local", 1),)), some))), (T.Pattern("bind", 1),))
+    return T.Form("do", None, (loop, T.Form("variant", "None")))
+
+
+def _call(name):
+    return T.Form("call", None, (T.Form("path", f"lib::{name}"), T.Form("local", 0)))
+
+
+CALLABLES = "library string, callable_id long, name string, container string, source string, form string"
+
+
+def _derived(spark, rows_, declared=()):
+    data = [(lib, i, n, c, s, None if f is None else T.dumps(f)) for lib, i, n, c, s, f in rows_]
+    callables = spark.createDataFrame(data, CALLABLES)
+    declarations = spark.createDataFrame(list(declared), "library string, type string, source string")
+    out = derivation.derive_library(callables, declarations)
+    return callables, out, {r["start"]: (list(r["chain"]), r["refusal"] or str(T.loads(r["form"]))) for r in out.collect()}
+
+
+def test_what_a_term_only_calls_or_builds():
+    assert T.delegation_target(T.Form("return", None, (_call("a::go"),))) == "go"
+    assert T.delegation_target(T.Form("do", None, (_methods("m"), _methods("n")))) is None
+    assert T.delegation_target(T.Form("call", None, (T.Form("local", 0),))) is None and T.delegation_target(T.Form("lit")) is None
+    built = T.Form("construct", "Own")
+    assert T.constructed_type(T.Form("opaque", "x", (T.Form("local", 0), T.Form("return", None, (built,))))) == "Own"
+    assert T.constructed_type(T.Form("do", None, (built, built))) is None and T.constructed_type(T.Form("local", 0)) is None
+
+
+def test_behaviours_follow_helpers_and_constructed_types(spark):
+    build = lambda t: T.Form("construct", t)
+    table = [
+        ("l", 0, "counts", None, "a", _call("helper")),
+        ("l", 1, "helper", None, "a", _walk("go")),
+        ("l", 2, "filtered", "Iterator", "a", build("Filtered")),
+        ("l", 3, "next", "Filtered", "a", _call("search")),
+        ("l", 4, "search", None, "b", _found("ok")),
+        ("l", 5, "next_back", "Filtered", "a", _walk("back")),
+        ("l", 6, "round", None, "a", _call("trip")),
+        ("l", 7, "trip", None, "a", _call("round")),
+        ("l", 8, "to_none", None, "a", _call("bare")),
+        ("l", 9, "bare", None, "a", None),
+        ("l", 10, "twice", None, "a", build("Two")),
+        ("l", 11, "next", "Two", "x", _walk("one")),
+        ("l", 12, "next", "Two", "y", _walk("two")),
+        ("l", 13, "far", None, "a", build("Far")),
+        ("l", 14, "next", "Far", "z", _walk("far")),
+        ("l", 15, "new", "Far", "z", build("Self")),
+        ("k", 16, "helper", None, "a", _walk("another library")),
+        ("l", 17, "same", "Trait", "a", _call("same")),
+        ("l", 18, "same", None, "b", _walk("work")),
+    ]
+    callables, out, got = _derived(spark, table, [("l", "Two", "x"), ("l", "Two", "y"), ("l", "Far", "z"), ("l", "Far", "z")])
+    assert got[0] == ([0, 1], str(_walk("go")))
+    assert got[2] == ([2, 3, 4], "(retain f0 v1 (method ok v1))"), "a search found inside a step is the whole operation"
+    assert got[4] == ([4], str(_found("ok"))), "a search that is not inside a step stays"
+    assert got[6] == ([6, 7], "not-comparable") and got[8] == ([8, 9], "no-body") and got[9] == ([9], "no-body")
+    assert got[10] == ([10], "not-comparable"), "a type declared twice is not followed elsewhere"
+    assert got[13] == ([13, 14], str(_walk("far"))) and got[15] == ([15, 14], str(_walk("far")))
+    assert got[17] == ([17, 18], str(_walk("work"))), "a wrapper is not its own implementation"
+    asked = spark.createDataFrame([("l", "lib::counts"), ("l", "lib::Filtered::next"), ("l", "lib::next"), ("l", "gone"), ("k", "helper")], "library string, path string")
+    found = {(r["library"], r["path"]): r["refusal"] or r["callable_id"] for r in derivation.derive_paths(asked, callables, out).collect()}
+    assert found == {("l", "lib::counts"): 0, ("l", "lib::Filtered::next"): 3, ("l", "lib::next"): "no-implementation", ("l", "gone"): "no-implementation", ("k", "helper"): 16}
+
+
+def test_long_delegations_and_deep_terms_are_refused(spark):
+    chain = [("l", i, f"f{i}", None, "a", _call(f"f{i + 1}")) for i in range(6)] + [("l", 6, "f6", None, "a", _walk("go"))]
+    deep = T.Form("free", 0)
+    for _ in range(40):
+        deep = T.Form("traverse", None, (deep, T.Form("local", 1)), (T.Pattern("bind", 1),))
+    _, _, got = _derived(spark, [*chain, ("l", 7, "deep", None, "a", deep)])
+    assert got[0] == ([0, 1, 2, 3, 4], "not-comparable") and got[2] == ([2, 3, 4, 5, 6], str(_walk("go"))) and got[7][1] == "too-deep"
+    assert _derived(spark, [])[2] == {}
+
+
+def brute_derive(table, declared, i):
+    """The same by one callable at a time."""
+    by = {r[1]: r for r in table}
+    contract = derivation.CONTRACT_METHODS["rust"]
+
+    def resolve(me, name):
+        same = [r for r in table if r[0] == me[0] and r[2] == name and r[1] != me[1]]
+        held = [r for r in same if me[3] is not None and r[3] == me[3]]
+        return next((x[0][1] for x in (held, same) if len(x) == 1), None)
+
+    def principal(me):
+        t = T.constructed_type(me[5])
+        t = me[3] if t == "Self" else t
+        if t is None:
+            return None
+        all_ = [r for r in table if r[0] == me[0] and r[3] == t]
+        some = [r for r in all_ if r[4] == me[4]]
+        if not some:
+            some = all_ if len({d[2] for d in declared if d[:2] == (me[0], t)}) == 1 else []
+        some = [r for r in some if r[5] is not None and r[2] in contract]
+        return max(some, key=lambda r: (-contract.index(r[2]), T.describes_work(r[5]), T.metrics(r[5])["size"], r[1]))[1] if some else None
+
+    chain = [i]
+    for _ in range(4):
+        me = by[chain[-1]]
+        if me[5] is None or T.describes_work(me[5]):
+            break
+        target = T.delegation_target(me[5])
+        to = resolve(me, target) if target else None
+        to = principal(me) if to is None else to
+        if to is None or to in chain:
+            break
+        chain.append(to)
+    me = by[chain[-1]]
+    if me[5] is not None and not T.describes_work(me[5]) and (to := principal(me)) is not None:
+        chain.append(to)
+    return chain
+
+
+def test_derivation_against_one_callable_at_a_time(spark):
+    rng = random.Random(5)
+    pick = lambda: rng.choice([None, _walk("go"), _found("ok"), *[_call(n) for n in ("f", "g", "h", "next")] * 2, *[T.Form("construct", t) for t in ("A", "B", "Self")] * 2])
+    table = [(rng.choice("lk"), i, rng.choice(["f", "g", "h", "i", "next", "poll", *[f"u{i}"] * 6]), rng.choice([None, "A", "B"]), rng.choice("xyz"), pick()) for i in range(60)]
+    declared = [("l", "A", "x"), ("l", "B", "x"), ("l", "B", "y"), ("k", "B", "z")]
+    _, _, got = _derived(spark, table, declared)
+    assert {i: c for i, (c, _) in got.items()} == {r[1]: brute_derive(table, declared, r[1]) for r in table}
+    assert max(len(c) for c, _ in got.values()) > 2
+
+
+# --- catalogs, evidence, observed calls
+
+
+def test_behaviours_meet_the_first_catalog_of_their_source(spark):
+    b = spark.createDataFrame([(1, "p", "1", "d"), (2, "p", "2", "d"), (3, None, "1", "d")], "id int, package string, version string, source_sha256 string")
+    c = spark.createDataFrame([(8, "p", "1", "d"), (7, "p", "1", "d"), (6, "p", "2", "other"), (5, None, "1", "d")], "catalog_id int, package string, version string, source_sha256 string")
+    assert [(r["id"], r["catalog_id"]) for r in derivation.with_catalog(b, c).collect()] == [(1, 7)]
+
+
+def test_delegations_among_equal_forms(spark):
+    b = spark.createDataFrame([("f", "a::x", ["x", "y"]), ("f", "a::y", ["y"]), ("f", "b::y", ["y", "y"]), ("g", "a::z", ["z", "y"]), ("f", "a::w", [])], "form string, path string, chain array<string>")
+    assert {r["path"]: r["n_delegating"] for r in derivation.delegated_to(b).collect()} == {"a::x": 0, "a::y": 2, "b::y": 1, "a::z": 0, "a::w": 0}
+
+
+def test_evidence_of_a_trace_is_ordered_and_single(spark):
+    t = spark.createDataFrame([(1, ["b", "a", "b"]), (2, ["gone"]), (3, [])], "trace_id int, paths array<string>")
+    e = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, content_sha256 string")
+    got = {r["trace_id"]: [tuple(x) for x in r["inputs"]] for r in effects.with_inputs(t, e).collect()}
+    assert got == {1: [("a", "1"), ("b", "2")], 2: [], 3: []}
+
+
+def test_observed_edges_without_ends(spark):
+    edges = spark.createDataFrame([(1, "a", "s", ["b"]), (2, "zz", "s", ["b"]), (3, "a", "s", []), (4, "a", "s", None), (5, "a", "s", ["far", "b"]), (6, "a", "s", ["far"]), (7, "b", "s", ["far", "std::fs::read"])], "edge_id int, from string, span string, to array<string>")
+    defs = spark.createDataFrame([("a",), ("b",)], "id string")
+    catalog = spark.createDataFrame([("std::fs::read", ["file-read"])], "path string, effects array<string>")
+    assert effects.observed_accounting(edges, defs, catalog).first().asDict() == {"total": 7, "linked_internal": 2, "known_effect_origins": 1, "constructors": 0, "outside_selected_corpus": 1, "dynamic_or_ambiguous": 2, "unknown": 1}
+    got = {r["edge_id"]: r["message"] for r in effects.observed_diagnostics(edges, defs).collect()}
+    assert got == {2: "call from unobserved definition zz", 3: "call in a was resolved to no destination", 4: "call in a was resolved to no destination"}
+
+
+def test_return_types_by_region(spark):
+    region = "file_id int, start int, end int"
+    c = spark.createDataFrame([(1, 0, 9, 5), (1, 0, 9, 4), (1, 2, 9, 6), (2, 0, 9, 7)], f"{region}, callable_id int")
+    r = spark.createDataFrame([(1, 0, 9, 1, "Option<T>"), (1, 0, 9, 2, "Result<T>"), (2, 0, 9, 1, "Option<T>")], f"{region}, at int, declared string")
+    got = {x["callable_id"]: x["containment"] for x in errors.with_containment(c, r, ["Result"], ["Option"]).collect()}
+    assert got == {4: "fallible", 6: "infallible", 7: "optional"}
+
+
+def test_analyzer_digests_frame_their_inputs():
+    import hashlib
+
+    got = packs.analyzer_digest("tag-v1", [("a", b"xy"), ("b", b"")])
+    assert got == "sha256:" + hashlib.sha256(b"tag-v1\0" + b"\0\0\0\0\0\0\0\1a" + b"\0\0\0\0\0\0\0\2xy" + b"\0\0\0\0\0\0\0\1b" + bytes(8)).hexdigest()
+    assert got != packs.analyzer_digest("tag-v1", [("ax", b"y"), ("b", b"")])
+
+
+def test_replaced_tables_keep_their_last_states(spark, tmp_path):
+    schema = "path string, domain string, text string, version long"
+    table = TokenTable(spark, str(tmp_path / "t"), trees.tokenize)
+    assert table.read() is None and table.versions() == {}
+    for v, text in enumerate(["fn a() {}", "fn b() {}", "fn c() {}", "fn d() {}"]):
+        table.upsert(spark.createDataFrame([("a.rs", "rust", text, v), ("a.rs", "rust", "fn A() {}", v)], schema))
+    assert "d" in {r["lexeme"] for r in table.read().collect()}, "of equal versions the greatest text counts"
+    before = rows(table.read())
+    table.vacuum()
+    assert rows(table.read()) == before and len(list((tmp_path / "t").glob("v-*"))) == 2 and len(list((tmp_path / "t").glob("current-*.json"))) == 2
