@@ -667,7 +667,7 @@ def j8_containment(spark, sf_dir):
 
 
 @query(
-    """WITH e AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_suppkey % 10 <> 0 AS seen, l_linenumber = 1 AS none, l_partkey % 4 = 0 AS external, (l_partkey % 50 + 1) % 10 <> 0 AND l_partkey % 50 + 1 <= (SELECT max(s_suppkey) FROM supplier) AS internal FROM lineitem)
+    """WITH e AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_suppkey % 10 <> 0 AS seen, l_linenumber = 1 AS none, l_partkey % 4 = 0 AS external, (l_partkey % 400 + 1) % 10 <> 0 AND l_partkey % 400 + 1 <= (SELECT max(s_suppkey) FROM supplier) AS internal FROM lineitem)
 SELECT count(*) AS total, count(*) FILTER (seen AND NOT none AND internal) AS linked_internal, count(*) FILTER (seen AND NOT none AND NOT internal AND external) AS known_effect_origins,
  0::BIGINT AS constructors, count(*) FILTER (seen AND NOT none AND NOT internal AND NOT external) AS outside_selected_corpus, count(*) FILTER (seen AND none) AS dynamic_or_ambiguous, count(*) FILTER (NOT seen) AS unknown
 FROM (SELECT DISTINCT * FROM e)"""
@@ -677,7 +677,7 @@ def j13_observed(spark, sf_dir):
     observed; some lead to a catalogued path as well, the first of an order nowhere."""
     li = table(spark, sf_dir, "lineitem")
     node = lambda x: F.concat(F.lit("s"), x.cast("string"))
-    to = F.when(F.col("l_linenumber") == 1, F.array().cast("array<string>")).otherwise(F.array(node(F.col("l_partkey") % 50 + 1), F.when(F.col("l_partkey") % 4 == 0, "std::fs::read").otherwise("other::thing")))
+    to = F.when(F.col("l_linenumber") == 1, F.array().cast("array<string>")).otherwise(F.array(node(F.col("l_partkey") % 400 + 1), F.when(F.col("l_partkey") % 4 == 0, "std::fs::read").otherwise("other::thing")))
     key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
     edges = li.select(key.alias("edge_id"), node(F.col("l_suppkey")).alias("from"), F.lit("s").alias("span"), to.alias("to")).distinct()
     definitions = table(spark, sf_dir, "supplier").where("s_suppkey % 10 <> 0").select(node(F.col("s_suppkey")).alias("id"))
@@ -761,9 +761,9 @@ def j26_trace_inputs(spark, sf_dir):
 @query(
     """WITH c AS (SELECT c_custkey AS id, c_custkey % 4 AS k, c_custkey % 20 = 2 AS bare FROM customer),
 m AS (SELECT id FROM c WHERE k = 2 AND NOT bare)
-SELECT c.id AS start, CASE WHEN k = 0 AND b.id IS NOT NULL THEN CASE WHEN n.id IS NOT NULL THEN concat_ws(',', c.id, b.id, n.id) ELSE concat_ws(',', c.id, b.id) END WHEN k = 1 AND o.id IS NOT NULL THEN concat_ws(',', c.id, o.id) ELSE c.id::VARCHAR END AS chain,
- CASE WHEN (k = 0 AND n.id IS NOT NULL) OR (k = 1 AND o.id IS NOT NULL) THEN '(retain f0 v0 (method ok v0))' WHEN k = 2 AND NOT bare THEN '(do (traverse f0 v0 (branch (method ok v0) (return (variant Some v0)))) (variant None))' END AS form,
- CASE WHEN bare THEN 'no-body' WHEN (k = 0 AND n.id IS NULL) OR (k = 1 AND o.id IS NULL) OR k = 3 THEN 'not-comparable' END AS refusal
+SELECT c.id AS start, CASE WHEN c.k = 0 AND b.id IS NOT NULL THEN CASE WHEN n.id IS NOT NULL THEN concat_ws(',', c.id, b.id, n.id) ELSE concat_ws(',', c.id, b.id) END WHEN c.k = 1 AND o.id IS NOT NULL THEN concat_ws(',', c.id, o.id) ELSE c.id::VARCHAR END AS chain,
+ CASE WHEN (c.k = 0 AND n.id IS NOT NULL) OR (c.k = 1 AND o.id IS NOT NULL) THEN '(retain f0 v0 (method ok v0))' WHEN c.k = 2 AND NOT c.bare THEN '(do (traverse f0 v0 (branch (method ok v0) (return (variant Some v0)))) (variant None))' END AS form,
+ CASE WHEN c.bare THEN 'no-body' WHEN (c.k = 0 AND n.id IS NULL) OR (c.k = 1 AND o.id IS NULL) OR c.k = 3 THEN 'not-comparable' END AS refusal
 FROM c LEFT JOIN c AS b ON c.k = 0 AND b.id = c.id + 1 LEFT JOIN m AS n ON c.k = 0 AND n.id = c.id + 2 LEFT JOIN m AS o ON c.k = 1 AND o.id = c.id + 1"""
 )
 def r7_derived(spark, sf_dir):
