@@ -209,12 +209,23 @@ def without(docs: DataFrame, id_col: str, gone: DataFrame, on, most: int | None
     return keep(docs, id_col, others=True).unionByName(some.join(gone, on(some, gone), "left_anti"))
 
 
+def _with_least(edges: DataFrame, rows: int) -> DataFrame:
+    """edges (a, b) with m, the smallest b of their a. The edges of a hub are dealt over
+    as many keys as its degree asks for. Of at most `rows` edges fewer than
+    MOST_BROADCAST nodes can have a degree above the limit, so the list of hubs that
+    is broadcast is bounded at any size."""
+    most = max(1_000, rows // MOST_BROADCAST)
+    low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", "m", F.ceil(F.col("n") / most).alias("k"))
+    hubs = low.where("k > 1").select("a", "k")
+    own = edges.join(F.broadcast(hubs), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("k", F.lit(1))).alias("s"))
+    return own.join(low.select("a", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("s")), ["a", "s"]).select("a", "b", "m")
+
+
 def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node that
     links reach. Alternates large-star and small-star steps, each round written to
     the shared folder, until the edges are a set of stars. No node's neighbours are
-    ever gathered in one row, so a hub of any degree is only a skewed join key,
-    which adaptive execution splits.
+    ever gathered in one row, and a hub's edges are dealt over several keys.
     """
     spark = edges.sparkSession
 
@@ -232,10 +243,8 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
         if not before[0]:
             break
         both = state.union(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        large = _with_least(both, 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
+        small = _with_least(large, 2 * before[0])
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         old = path
         state, path = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), i + 1)

@@ -78,6 +78,21 @@ def test_components_are_those_of_union_find(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hubs_are_dealt_over_several_keys(spark):
+    """Two hubs of 2,600 leaves, the larger id at the centre, joined by one edge, and a chain."""
+    edges = [(50_000, i) for i in range(10, 2_610)] + [(3, i) for i in range(60_000, 62_600)] + [(2_609, 60_000)] + [(70_000 + i, 70_001 + i) for i in range(20)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    both = df.union(df.select("b", "a"))
+    least = {r["a"]: r["m"] for r in common._with_least(both, both.count()).collect()}
+    want = {}
+    for a, b in edges:
+        want[a], want[b] = min(want.get(a, b), b), min(want.get(b, a), a)
+    assert least == want and common._with_least(both, both.count()).count() == both.count()
+    got = {r["node"]: r["root"] for r in common.connected_components(df).collect()}
+    nodes = {x for e in edges for x in e}
+    assert got == {x: 70_000 if x >= 70_000 else 3 for x in nodes}
+
+
 # --- 1 toxicity
 
 
