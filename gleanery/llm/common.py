@@ -214,7 +214,7 @@ def _with_least(edges: DataFrame, rows: int) -> DataFrame:
     as many keys as its degree asks for. Of at most `rows` edges fewer than
     MOST_BROADCAST nodes can have a degree above the limit, so the list of hubs that
     is broadcast is bounded at any size."""
-    most = max(1_000, rows // MOST_BROADCAST)
+    most = max(1_000, rows // max(MOST_BROADCAST, 1))
     low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", "m", F.ceil(F.col("n") / most).alias("k"))
     hubs = low.where("k > 1").select("a", "k")
     own = edges.join(F.broadcast(hubs), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("k", F.lit(1))).alias("s"))
