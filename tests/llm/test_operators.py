@@ -659,6 +659,41 @@ def test_the_base_of_a_large_family_is_compared_first():
     assert len(i) == 200 and len(left) == 0 and (i == 200).sum() >= 150
 
 
+def test_pairs_in_large_groups_are_all_compared():
+    """Near passages without a run of 16 words beside the token that 180 texts hold, alone and in blocks."""
+    rng = np.random.default_rng(5)
+    s = rng.integers(0, 60_000, (180, 93)).astype(np.int32)
+    s[:, 46] = 7
+    for i in range(0, 60, 2):
+        s[i + 1, 15:61] = s[i, 15:61]
+        s[i + 1, 47:52] = rng.integers(0, 60_000, 5)
+        s[i, :15] = -1
+    order = rng.permutation(180)
+    want = {tuple(sorted((int(np.flatnonzero(order == i)[0]), int(np.flatnonzero(order == i + 1)[0])))) for i in range(0, 60, 2)}
+    i, j, _ = compact_windows.links_of(np.array([0]), np.arange(180), s[order], 80, 46)
+    assert {tuple(sorted(x)) for x in zip(i.tolist(), j.tolist())} == want
+    side = order % 2
+    i, j, _ = compact_windows.links_of(np.array([0]), np.arange(180), s[order], 80, 46, side)
+    assert {tuple(sorted(x)) for x in zip(i.tolist(), j.tolist())} == want
+
+
+def test_near_passages_under_a_token_of_many_texts_are_found(spark, monkeypatch):
+    """Words are changed within a third of a passage on both sides of a line that 150 other texts hold."""
+    fresh = iter(range(10**6))
+    unique = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    line = unique(6)
+    docs = [(i, " ".join(unique(60) + line + unique(60))) for i in range(150)]
+    for f in range(40):
+        # the line's tokens are the only ones that some pairs share as a smallest one
+        a, b = unique(54), unique(54)
+        passage = a + line + b
+        other = a[:42] + unique(1) + a[43:] + line + b[:11] + unique(1) + b[12:]
+        docs += [(1000 + 2 * f, " ".join(unique(30) + passage + unique(30))), (1001 + 2 * f, " ".join(unique(30) + other + unique(30)))]
+    monkeypatch.setattr(compact_windows, "_LARGE", 40)
+    got = {(r["doc_id"], r["match_doc_id"]) for r in compact_windows.near_passages(documents(spark, docs)).collect()}
+    assert got == {(1001 + 2 * f, 1000 + 2 * f) for f in range(40)}
+
+
 def test_nearest_smaller_values():
     rng = np.random.default_rng(3)
     for _ in range(50):
