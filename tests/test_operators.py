@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import effect_rules, names, spans
 from gleanery.functions import forms as T
-from gleanery.operators import behaviors, clones, derivation, effects, errors, graph, macros, ownership, packs, relational, reports
+from gleanery.operators import behaviors, clones, code_windows, derivation, effects, errors, graph, macros, ownership, packs, relational, reports
+from gleanery.plans import queries
 from gleanery.sources import documents, pack_files, trees
 from gleanery.streaming.replace import TokenTable, follow
 
@@ -90,6 +91,27 @@ def test_runs_of_edges_are_runs_of_all_seeds(spark):
     assert rows(clones.runs(w, 4).select(clones._MATCH)) == rows(clones.merge_runs(clones.seeds(w, 4), 4))
 
 
+def word_docs(spark):
+    """Documents with common passages, null and short texts, a null language, and words that repeat throughout."""
+    rng = random.Random(21)
+    line, other = (" ".join(rng.choice("abcdef") for _ in range(30)) for _ in range(2))
+    texts = [" ".join([*(rng.choice("ab") for _ in range(rng.randrange(30))), rng.choice([line, other, line[: rng.randrange(60)]]), *(rng.choice("xyz") for _ in range(rng.randrange(9)))]) for _ in range(80)]
+    texts += [None, "", "one two", "a " * 60, "a " * 40, line, line]
+    return spark.createDataFrame([(i, t, None if i % 11 == 0 else rng.choice(["en", "de"])) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+
+
+def test_groups_of_windows_are_counted_without_a_row_for_each(spark, tmp_path):
+    docs = word_docs(spark)
+    got = code_windows.window_groups(queries.word_files(docs), 8)
+    w = clones.windows(clones.encoded(queries.word_tokens(docs)), 8, renamed=False)
+    assert rows(got) == rows(w.groupBy("domain").agg(F.count("*"), F.countDistinct("digest")))
+    assert got.count() == 3
+    assert code_windows.window_groups(queries.word_files(docs.where("false")), 8).count() == 0
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    plan = queries.w1_a1_windows(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
+
+
 def test_configuration_is_checked(spark):
     with pytest.raises(ValueError):
         clones.clones(None, k=0)
