@@ -112,6 +112,18 @@ def test_groups_of_windows_are_counted_without_a_row_for_each(spark, tmp_path):
     assert "Window" not in plan and "Generate" not in plan
 
 
+def test_starts_of_runs_are_counted_without_pairs(spark, tmp_path):
+    docs = word_docs(spark)
+    for k in (4, 6, 16):
+        w = clones.windows(clones.encoded(queries.word_tokens(docs)), k, renamed=False).cache()
+        want = clones.seeds(w, k, "before").groupBy("left_file").agg(F.count("*"), F.sum("left_start"), F.sum("right_start"))
+        assert rows(code_windows.run_starts(queries.word_files(docs), k)) == rows(want)
+    assert code_windows.run_starts(queries.word_files(docs.where("false")), 4).count() == 0
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    plan = queries.j1_run_starts(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
 def test_configuration_is_checked(spark):
     with pytest.raises(ValueError):
         clones.clones(None, k=0)
