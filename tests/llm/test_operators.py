@@ -467,6 +467,16 @@ def test_token_counts_of_odd_rows(spark, counter):
     assert token_counts.count_tokens(documents(spark, []), BPE).count() == 0
 
 
+def test_counters_memory_is_bounded(counter):
+    own = token_counts.PieceCounter(BPE, keep=50)
+    long = ["a%d" % i + "x" * 5_000 for i in range(300)]
+    words = [" ".join(f"w{i}" for i in range(lo, lo + 200)) for lo in range(0, 2_000, 200)]
+    texts = long + words + ["y" * 200_000, words[0], ""]
+    assert [own.counts([t])[0] for t in texts] == own.counts(texts) == [len(counter._encoder.encode(t, add_special_tokens=False)) for t in texts]
+    held = [w for part in vars(own).values() if isinstance(part, dict) for w in part]
+    assert len(held) <= 100 and sum(map(len, held)) <= 100 * 64
+
+
 # --- 7 mixing
 
 
