@@ -91,6 +91,20 @@ def test_runs_of_edges_are_runs_of_all_seeds(spark):
     assert rows(clones.runs(w, 4).select(clones._MATCH)) == rows(clones.merge_runs(clones.seeds(w, 4), 4))
 
 
+def test_maximal_runs_without_shuffled_pairs(spark, tmp_path, monkeypatch):
+    docs = word_docs(spark)
+    for k, small in ((4, 64), (6, 3), (16, 3)):
+        monkeypatch.setattr(code_windows, "_SMALL", small)
+        monkeypatch.setattr(code_windows, "_PAIRS", 200)
+        w = clones.windows(clones.encoded(queries.word_tokens(docs)), k, renamed=False).cache()
+        got = code_windows.maximal_runs(queries.word_files(docs), k)
+        assert rows(got.select(clones._MATCH)) == rows(clones.merge_runs(clones.seeds(w, k), k))
+    assert code_windows.maximal_runs(queries.word_files(docs.where("false")), 4).count() == 0
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    plan = queries.w2_maximal_runs(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
 def word_docs(spark):
     """Documents with common passages, null and short texts, a null language, and words that repeat throughout."""
     rng = random.Random(21)
