@@ -687,6 +687,47 @@ def test_pairs_in_large_groups_are_all_compared():
     assert {tuple(sorted(x)) for x in zip(i.tolist(), j.tolist())} == want
 
 
+def test_pairs_that_share_one_repeated_token_are_not_verified(monkeypatch):
+    """Most places of 46 hold the token that two slices share, but it is one of several different ones."""
+    rng = np.random.default_rng(6)
+    s = rng.integers(0, 60_000, (70, 93)).astype(np.int32)
+    s[:60, 46:85] = 7
+    s[60:, 46:] = 7
+    asked, verify = [], compact_windows.verify
+    monkeypatch.setattr(compact_windows, "verify", lambda *x: asked.append(1) or verify(*x))
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60, 70)))
+    assert not compact_windows.linked(s, i, j, 80, 46).any()
+    assert not asked
+    i, j = np.triu_indices(10, 1)
+    assert compact_windows.linked(s, i + 60, j + 60, 80, 46).all()
+
+
+def test_pairs_are_linked_as_verify_finds():
+    """Slices of changed, moved and repeated tokens, some of them cut short."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for f in range(30):
+        base = rng.integers(0, 60_000 if f % 3 else 30, 93)
+        if f % 5 == 0:
+            base[20:70] = np.repeat(base[20:30], 5)
+        for _ in range(6):
+            x = np.roll(base, int(rng.integers(-8, 9)))
+            at = rng.integers(0, 93, int(rng.integers(0, 16)))
+            x[at] = rng.integers(0, 60_000, len(at))
+            lo = int(rng.integers(0, 70))
+            x[lo : lo + 20] = rng.permutation(x[lo : lo + 20])
+            x[: int(rng.integers(0, 20)) * int(rng.integers(0, 2))] = -1
+            x[93 - int(rng.integers(0, 20)) * int(rng.integers(0, 2)) :] = -1
+            rows.append(x)
+    s = np.array(rows, np.int32)
+    i, j = (np.concatenate(x) for x in zip(*((f + a, f + b) for f in range(0, 180, 6) for a, b in [np.triu_indices(6, 1)])))
+    most = np.int32(180)
+    in_place = compact_windows._holds(((s[i] == s[j]) & (s[i] >= 0)) * most - np.int32(160), 46)
+    want = [bool(sure or compact_windows.verify(x[x >= 0], y[y >= 0], 80, 46)) for sure, x, y in zip(in_place, s[i], s[j])]
+    got = compact_windows.linked(s, i, j, 80, 46)
+    assert 50 < sum(want) < 400 and got.tolist() == want
+
+
 def test_near_passages_under_a_token_of_many_texts_are_found(spark, monkeypatch):
     """Words are changed within a third of a passage on both sides of a line that 150 other texts hold."""
     fresh = iter(range(10**6))
