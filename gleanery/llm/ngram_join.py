@@ -42,15 +42,24 @@ from .common import connected_components, id_filter, materialise, partitions, st
 _CLASS = 1.6
 #: Shingles in a (sub-)block.
 _BLOCK_SHINGLES = 3_000_000
+#: Bytes of texts whose words are hashed at once.
+_AT_ONCE = 1 << 18
 _FANOUT = 16
 
 
 def document_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
+    """Sorted distinct shingle hashes of each text. Words are hashed for about _AT_ONCE
+    bytes of texts at a time (at least one text), as hashing takes many times their memory."""
     data, offsets = buffers(texts)
-    starts, ends, firsts = spans(data, offsets, NONSPACE)
-    words = hashes(data, starts, ends)
-    return [np.unique(shingles(words[a:b], k)) for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist())]
+    out, lo = [], 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + _AT_ONCE, side="right")) - 1)
+        own = data[offsets[lo] : offsets[hi]]
+        starts, ends, firsts = spans(own, offsets[lo : hi + 1] - offsets[lo], NONSPACE)
+        words = hashes(own, starts, ends)
+        out += [np.unique(shingles(words[a:b], k)) for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist())]
+        lo = hi
+    return out
 
 
 def set_digest(s: np.ndarray) -> bytes:

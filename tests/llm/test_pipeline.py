@@ -1,6 +1,9 @@
 import random
+import tracemalloc
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gleanery.llm import common, exact_dedup, ngram_join
@@ -73,3 +76,42 @@ def test_empty_tables_and_clashing_names(spark, tmp_path, monkeypatch):
     for name, f in corpus_pipeline.STAGES[:4]:
         out = f(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and all(r[c] == c for r in out.collect() for c in names), name
+
+
+def test_stages_bound_what_a_worker_gets_at_once(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = documents(spark, [(i, f"some words of text {i}") for i in range(20)])
+    texts = spark.range(0, 3_000, 1, 1).select(F.repeat(F.lit("word "), 1_000).alias("t"))  # 15 MB in one partition
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    before = spark.conf.get(key)
+    try:
+        for name, f in corpus_pipeline.STAGES:
+            spark.conf.set(key, "64m")
+            f(spark, docs, str(tmp_path))
+            got = texts.mapInArrow(sizes, "n long, bytes long").collect()
+            assert sum(r["n"] for r in got) == 3_000 and max(r["bytes"] for r in got) < 5 << 20, name
+        spark.conf.set(key, "1m")
+        common.small_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_sets_are_made_in_bounded_memory():
+    rng = random.Random(3)
+    texts = [prose(rng, 400) for _ in range(2_000)] + ["", "one", "x " * 400_000]
+    alone = [ngram_join.document_sets(pa.array([t], pa.large_string()), 5)[0] for t in texts]
+    whole = pa.array(["left out", *texts], pa.large_string()).slice(1)
+    tracemalloc.start()
+    try:
+        sets = ngram_join.document_sets(whole, 5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert all(np.array_equal(a, b) for a, b in zip(sets, alone, strict=True))
+    assert peak < 60 << 20  # hashed in one go they took 158 MB
