@@ -1,12 +1,13 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions import effect_rules, names, spans
 from gleanery.functions import forms as T
-from gleanery.operators import behaviors, clones, code_windows, derivation, effects, errors, graph, macros, ownership, packs, relational, reports
+from gleanery.operators import behaviors, clones, code_windows, derivation, effects, errors, file_clones, graph, macros, ownership, packs, relational, reports
 from gleanery.plans import queries
 from gleanery.sources import documents, pack_files, trees
 from gleanery.streaming.replace import TokenTable, follow
@@ -114,6 +115,53 @@ def word_docs(spark):
     return spark.createDataFrame([(i, t, None if i % 11 == 0 else rng.choice(["en", "de"])) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
 
 
+def named_docs(spark):
+    """Passages whose long words are changed throughout, in one place, or not, with null and short texts and repeats."""
+    rng = random.Random(5)
+    passages = [[rng.choice(["a", "b", "of", "to", "first", "second", "third", "123456"]) for _ in range(30)] for _ in range(4)]
+    texts = []
+    for i in range(70):
+        words = list(rng.choice(passages))
+        if i % 3:
+            names = {"first": rng.choice(["first", "other"]), "second": rng.choice(["second", "fifth"])}
+            words = [names.get(w, w) for w in words]
+        if i % 5 == 0:
+            words[rng.randrange(30)] = "inplace"
+        texts.append(" ".join([*(rng.choice("abcd") for _ in range(rng.randrange(9))), *words[rng.randrange(5) :], *(rng.choice(["first", "other", "x"]) for _ in range(rng.randrange(9)))]))
+    texts += [None, "", "one", "first " * 50, "other " * 30, "first other " * 20, "other first " * 25]
+    return spark.createDataFrame([(i if i != 9 else None, t, None if i % 13 == 0 else rng.choice(["en", "de"])) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+
+
+def test_renamed_clones_without_shuffled_runs(spark, tmp_path):
+    docs = named_docs(spark)
+    for k, percent in ((9, 50), (12, 20)):
+        tokens = queries.word_tokens(docs).withColumn("class", F.when(F.length("lexeme") >= 5, "name").otherwise("other"))
+        want = clones.clones(tokens, k=k, min_lines=2, rename=("name",), max_changed_percent=percent)
+        got = queries.clones_of_words(docs, k, min_letters=5, max_changed_percent=percent)
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        assert rows(got) == rows(want) and got.count() > 50
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    plan = queries.near_clones(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
+
+
+def test_chosen_runs_are_those_of_a_plain_search():
+    rng = np.random.default_rng(3)
+    own, n = np.sort(rng.integers(0, 6, 600)), rng.integers(4, 30, 600)
+    ls, rs, changed = rng.integers(0, 60, 600), rng.integers(0, 60, 600), rng.integers(0, 3, 600)
+    # on one diagonal no run holds another
+    one = np.unique(np.stack([own, rs - ls]), axis=1, return_index=True)[1]
+    own, ls, rs, n, changed = (v[one] for v in (own, ls, rs, n, changed))
+    held = lambda i, j: own[i] == own[j] and i != j and ls[j] <= ls[i] and rs[j] <= rs[i] and ls[j] + n[j] >= ls[i] + n[i] and rs[j] + n[j] >= rs[i] + n[i]
+    left = [i for i in range(len(own)) if not any(held(i, j) for j in range(len(own)))]
+    kept = []
+    for i in sorted(left, key=lambda i: (own[i], -n[i], changed[i], ls[i], rs[i])):
+        both = lambda s, j: min(s[i] + n[i], s[j] + n[j]) - max(s[i], s[j])
+        if not any(own[i] == own[j] and 5 * both(ls, j) >= 4 * n[i] and 5 * both(rs, j) >= 4 * n[i] for j in kept):
+            kept.append(i)
+    assert len(left) < len(own) and sorted(file_clones._chosen(own, ls, rs, n, changed).tolist()) == sorted(kept)
+
+
 def test_groups_of_windows_are_counted_without_a_row_for_each(spark, tmp_path):
     docs = word_docs(spark)
     got = code_windows.window_groups(queries.word_files(docs), 8)
