@@ -702,6 +702,39 @@ def test_pairs_that_share_one_repeated_token_are_not_verified(monkeypatch):
     assert compact_windows.linked(s, i + 60, j + 60, 80, 46).all()
 
 
+def test_few_pairs_of_a_large_group_are_compared_by_place(monkeypatch):
+    """Slices of a common text of whose tokens most pairs share many but hold no near passage, runs of
+    one token, and some near copies: few pairs are compared in full, among them all that are linked."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 16, 93)
+    s = np.tile(base, (150, 1)).astype(np.int32)
+    for row in s[:100]:
+        for at in rng.integers(0, 93, 12):
+            row[at : at + 4] = rng.integers(0, 1 << 16, len(row[at : at + 4]))
+    s[100:140] = rng.integers(0, 1 << 16, (40, 93))
+    for k, row in enumerate(s[100:140]):
+        row[46 : 46 + 20 + k // 2] = base[46]
+    s[140:] = s[:10]
+    s[140:145, 3:7] = 7
+    s[145:, 60:] = -1
+    i, j = np.triu_indices(150, 1)
+    want = compact_windows.linked(s, i, j, 80, 46)
+    marks = compact_windows._Marks(s, np.arange(150), 80, 46)
+    some, near = marks.share(i, j)
+    fit = marks.fit(i, j, near)
+    assert want.any() and not (want & ~(some & fit)).any()
+    assert (compact_windows.linked(s, i, j, 80, 46, near=near) == want).all()
+    assert not (want & ~np.isin(i * 150 + j, np.concatenate([np.minimum(x, y) * 150 + np.maximum(x, y) for x, y in compact_windows._likely_pairs(s, 80, 46, marks.near)]))).any()
+    n, plain = [], compact_windows.linked
+    monkeypatch.setattr(compact_windows, "linked", lambda s, i, j, *a, **k: (n.append(len(i)), plain(s, i, j, *a, **k))[1])
+    a, b, _ = compact_windows.links_of(np.array([0]), np.arange(150), s, 80, 46)
+    assert sum(n) < len(i) // 5
+    label = np.arange(150)
+    for x, y in zip(a.tolist(), b.tolist()):
+        label[label == label[y]] = label[x]
+    assert (label[i[want]] == label[j[want]]).all()
+
+
 def test_pairs_are_linked_as_verify_finds():
     """Slices of changed, moved and repeated tokens, some of them cut short."""
     rng = np.random.default_rng(7)
